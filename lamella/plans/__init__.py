@@ -1 +1 @@
-
+"""The engine's queries."""

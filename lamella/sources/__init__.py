@@ -1 +1 @@
-
+"""Reading and writing files, and what their footers say."""
