@@ -196,21 +196,40 @@ def test_near_classes_equal_brute_force(spark):
     assert sorted(r.doc_id for r in left.collect()) == sorted(sizes)
 
 
-def test_blocked_search_finds_pairs_that_leaders_miss(spark):
-    rng = np.random.default_rng(0)
-    base = rng.integers(0, 2**31, near_dedup.HASHES, dtype=np.uint32)
-    keys = [bytes([i]) * 16 for i in range(6)]
-    samples = [base.copy() for _ in keys]
-    samples[0][10:] = 1
-    buckets = spark.createDataFrame([(1, k) for k in keys], "bucket long, key binary")
-    signed = spark.createDataFrame([(k, s.tobytes()) for k, s in zip(keys, samples)], "key binary, samples binary")
+def test_blocked_search_joins_classes_that_leaders_miss(spark):
+    rng = random.Random(8)
+    words = sentences(15, 1, 200)[0].split()
+    texts = []
+    for i in range(9):
+        changed = words[:]
+        for j in range(i):
+            changed[(11 * j) % 200] = f"new{i}x{rng.random()}"
+        texts.append(" ".join(changed))
+    texts.append(sentences(16, 1, 200)[0])
+    keys = [bytes([i]) * 16 for i in range(len(texts))]
+    idf = np.ones(near_dedup.CELLS, np.float32)
+    signed = near_dedup.signatures(spark.createDataFrame(list(zip(keys, texts)), "key binary, text string"), idf).cache()
+    buckets = signed.selectExpr("key", "posexplode(bands) as (band, bucket)")
     labels = spark.createDataFrame([(keys[4], keys[3])], "key binary, label binary")
-    want = {(bytes([i]) * 16, bytes([j]) * 16) for i in range(1, 6) for j in range(i + 1, 6) if (i, j) != (3, 4)}
-    for block in (1024, 2):
+    sets = [set(shingle_set(x)) for x in texts]
+    alike = [(i, j) for i in range(10) for j in range(i) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    shared = {i: {b.bucket for b in buckets.collect() if bytes(b.key) == keys[i]} for i in range(10)}
+
+    def classes(pairs):
+        parent = list(range(10))
+        for a, b in pairs:
+            old, new = parent[a], parent[b]
+            parent = [new if p == old else p for p in parent]
+        return {frozenset(i for i in range(10) if parent[i] == p) for p in parent}
+
+    want = classes([(i, j) for i, j in alike if shared[i] & shared[j]] + [(3, 4)])
+    for block in (512, 2):
         near_dedup.BLOCK, kept = block, near_dedup.BLOCK
-        got = {(bytes(r.a), bytes(r.b)) for r in near_dedup._search(buckets, signed, labels).collect()}
+        texts_df = spark.createDataFrame(list(zip(keys, texts)), "key binary, text string")
+        got = [(r.a[0], r.b[0]) for r in near_dedup._search(buckets, signed.select("key", "samples"), texts_df, labels, idf, 0.8).collect()]
         near_dedup.BLOCK = kept
-        assert got == want
+        assert set(got) and all((max(p), min(p)) in alike for p in got)
+        assert classes(got + [(3, 4)]) == want
 
 
 def test_near_classes_of_empty_and_null_tables(spark):
