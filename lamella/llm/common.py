@@ -7,6 +7,7 @@ import gc
 import json
 import re
 import sys
+import time
 import uuid
 from array import array
 from collections.abc import Callable, Iterator
@@ -74,8 +75,10 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 def release(spark: SparkSession) -> None:
     """Lets the context cleaner drop shuffle files of finished steps: it acts on the driver's GC."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    for _ in range(2):  # Python's proxies let go of the JVM's objects a moment after the first
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.2)
 
 
 def without_dropped(docs: DataFrame, decided: DataFrame, id: str, text: str, key: Column) -> DataFrame:

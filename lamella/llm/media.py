@@ -105,7 +105,7 @@ def _packed(docs: DataFrame) -> DataFrame:
     def make():
         import zstandard
 
-        pack = zstandard.ZstdCompressor(level=3)
+        pack = zstandard.ZstdCompressor(level=6)
 
         def each(batch):
             kept = batch.select(["doc_id", "text_key"]).columns
@@ -169,7 +169,7 @@ def store(docs: DataFrame, path: str, id: str = "doc_id", text: str = "text") ->
     rows = arrow_map(joined, make, "rep long, chunks binary, owners array<long>, places array<int>, shared array<boolean>, own binary")
     # Rows that repeat an id and a text meet here with one rep; one of them is enough.
     repeated = not lists.groupBy("text_key", "doc_id").count().where("count > 1").isEmpty()
-    (rows.dropDuplicates(["rep"]) if repeated else rows).write.option("compression", "zstd").parquet(path)
+    (rows.dropDuplicates(["rep"]) if repeated else rows).write.option("compression", "zstd").option("parquet.compression.codec.zstd.level", "9").parquet(path)
     release(spark)
     return lists.select("doc_id", "text_key", "n_bytes").join(reps.select("text_key", "rep"), "text_key").select("doc_id", "n_bytes", "rep")
 
