@@ -6,7 +6,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import arrow_map, encoder, strings
+from .common import arrow_map, encoder, strings, written
 
 #: Lengths a block of the two-level prefix sums spans.
 BLOCK = 1024
@@ -77,5 +77,8 @@ def quantiles(totals: DataFrame, shares: list[float]) -> DataFrame:
 
 
 def token_counts(docs: DataFrame, tokenizer: str, text: str = "text") -> DataFrame:
-    """context_totals of the documents' encoded lengths. Extra columns are ignored."""
-    return context_totals(length_histogram(encoded_lengths(docs, tokenizer, text)))
+    """context_totals of the documents' encoded lengths. Extra columns are ignored.
+
+    The totals read the histogram twice, so it is written: texts are encoded once.
+    """
+    return context_totals(written(length_histogram(encoded_lengths(docs, tokenizer, text)), "histogram"))
