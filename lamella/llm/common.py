@@ -143,14 +143,18 @@ DIGIT = "0-9²³¹¼-¾"
 PLAIN = re.compile(r"[\t\n\r -~¡-ÿ]*")
 BYTE_PIECE = re.compile(rf"'(?:[stmd]|re|ve|ll)| ?[{LETTER}]+| ?[{DIGIT}]+| ?[^\s{LETTER}{DIGIT}]+|\s+(?!\S)|\s+")
 WORD_PIECE = re.compile(rf"'(?:[stmd]|re|ve|ll)|[{LETTER}]+|[{DIGIT}]|[^\s{LETTER}{DIGIT}]+")
+#: Byte-level alphabet: bytes that print in Latin-1 are themselves, the others follow from 256 on.
+SHOWN = [*range(33, 127), *range(161, 173), *range(174, 256)]
+ALPHABET = {b: chr(b) for b in SHOWN} | {b: chr(256 + i) for i, b in enumerate(sorted(set(range(256)) - set(SHOWN)))}
 
 
 class Encoder:
     """Ids of a text by a tokenizers file, as packed little-endian bytes.
 
     Both known layouts split a text into pieces that are encoded independently, so the ids of a
-    piece are remembered. Splitting follows the file's own pattern for plain Latin text; any other
-    text, and any other layout, is encoded whole by the library.
+    piece are remembered, and a new piece goes to the library's merging model alone. Splitting
+    follows the file's own pattern for plain Latin text; any other text, and any other layout, is
+    encoded whole by the library.
     """
 
     def __init__(self, path: str):
@@ -158,6 +162,7 @@ class Encoder:
 
         self.library = Tokenizer.from_file(path)
         self.library.encode_special_tokens = True
+        self.model = self.library.model
         self.dtype = np.dtype("<u2") if self.library.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
@@ -169,13 +174,19 @@ class Encoder:
             self.packed = self._words
         else:
             self.packed = self._whole
-        self.pieces = Memo(self._whole)
+        self.pieces = Memo(self._piece)
         self.spaced = Memo(lambda chunk: b"".join(map(self.pieces.__getitem__, BYTE_PIECE.findall(" " + chunk))))
         self.chunks = Memo(lambda chunk: b"".join(map(self.pieces.__getitem__, WORD_PIECE.findall(chunk))))
 
+    def _little(self, ids: list[int]) -> bytes:
+        values = array(self.dtype.char, ids)
+        return values.tobytes() if LITTLE else values.byteswap() or values.tobytes()
+
     def _whole(self, text: str) -> bytes:
-        ids = array(self.dtype.char, self.library.encode(text, add_special_tokens=False).ids)
-        return ids.tobytes() if LITTLE else ids.byteswap() or ids.tobytes()
+        return self._little(self.library.encode(text, add_special_tokens=False).ids)
+
+    def _piece(self, piece: str) -> bytes:
+        return self._little([x.id for x in self.model.tokenize(piece.encode().decode("latin-1").translate(ALPHABET))])
 
     def _byte_level(self, text: str) -> bytes:
         if not PLAIN.fullmatch(text):
