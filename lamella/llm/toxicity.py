@@ -38,13 +38,17 @@ SUSPECT = re.compile(
 QUICK = re.compile(rf"[{_L}][{_S}._*-]+[{_L}]|(?<!\S)[{_S}][{_S}{_L}][{_L}]|([{_L}])\1\1|(?<!\S)[{_L}{_S}](?: [{_L}{_S}]){{3}}")
 WORD = re.compile(r"[^\W\d_]{3,24}")
 EDGE = "^"
+#: In trigrams, one character for every letter that no span can hold, so that their number has a bound that no corpus passes.
+OTHER, FOREIGN = "?", re.compile(rf"[^{_L}]")
+#: Words that a task counts before it turns them into trigrams.
+WORDS_AT_ONCE = 300_000
 
 
 def trigrams(words) -> Counter:
     """Counts of three characters in a row, with two edges before a word and one after it."""
     out: Counter = Counter()
     for word, n in words.items():
-        chars = EDGE * 2 + word + EDGE
+        chars = EDGE * 2 + FOREIGN.sub(OTHER, word) + EDGE
         for i in range(len(chars) - 2):
             out[chars[i : i + 3]] += n
     return out
@@ -141,8 +145,29 @@ def _fit_logistic(x: np.ndarray, y: np.ndarray, l2: float = 1.0, rounds: int = 4
     return w, b
 
 
+def corpus_trigrams(docs: DataFrame, text: str = "text") -> dict[str, int]:
+    """Counts of the trigrams of the words of all documents; each task sums its own first."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: Counter = Counter()
+        grams: Counter = Counter()
+        for batch in batches:
+            for at in range(0, batch.num_rows, ROWS_AT_ONCE):
+                for x in strings(batch.slice(at, ROWS_AT_ONCE), "text"):
+                    found.update(WORD.findall(x.lower()))
+                    if len(found) > WORDS_AT_ONCE:
+                        grams.update(trigrams(found))
+                        found.clear()
+        grams.update(trigrams(found))
+        yield pa.record_batch([pa.array(list(grams), pa.string()), pa.array(list(grams.values()), pa.int64())], ["name", "n"])
+
+    rows = docs.select(F.col(text).alias("text")).mapInArrow(count, "name string, n long")
+    return {r["name"]: r["n"] for r in rows.groupBy("name").agg(F.sum("n").alias("n")).orderBy("name").collect()}
+
+
 def fit(docs: DataFrame, labelled: DataFrame, label: str = "toxic", id: str = "doc_id", text: str = "text", sample_rows: int = SAMPLE_ROWS) -> Model:
-    """Learns from labelled rows that are not held out, at most sample_rows of each class.
+    """Learns words and weights from labelled rows that are not held out, at most sample_rows of each
+    class, and the character model from the texts of all documents.
 
     Without labels of both classes the score is the share of label 1 everywhere (none: 0).
     """
@@ -158,23 +183,20 @@ def fit(docs: DataFrame, labelled: DataFrame, label: str = "toxic", id: str = "d
 
     def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[int, Counter] = {0: Counter(), 1: Counter()}
-        grams: Counter = Counter()
         for batch in batches:
             for at in range(0, batch.num_rows, ROWS_AT_ONCE):
                 part = batch.slice(at, ROWS_AT_ONCE)
                 for y, x in zip(part.column(0).to_pylist(), strings(part, "text")):
-                    found = Counter(WORD.findall(x.lower()))
-                    grams.update(trigrams(found))
-                    seen[y].update({f for w in found for f in features_of(w)})
-        for kind, some in ((0, seen[0]), (1, seen[1]), (2, grams)):
+                    seen[y].update({f for w in set(WORD.findall(x.lower())) for f in features_of(w)})
+        for kind, some in seen.items():
             keys = list(some)
             for at in range(0, len(keys), 50_000):
                 part = keys[at : at + 50_000]
                 yield pa.record_batch([pa.array([kind] * len(part), pa.int32()), pa.array(part), pa.array([some[k] for k in part], pa.int64())], ["kind", "name", "n"])
 
     counted = written(sample.mapInArrow(words, "kind int, name string, n long").groupBy("kind", "name").agg(F.sum("n").alias("n")), "counted")
-    grams = {r["name"]: r["n"] for r in counted.where("kind = 2").orderBy(F.desc("n"), "name").limit(60_000).collect()}
-    both = counted.where("kind < 2").groupBy("name").agg(F.sum(F.when(F.col("kind") == 0, F.col("n")).otherwise(0)).alias("n0"), F.sum(F.when(F.col("kind") == 1, F.col("n")).otherwise(0)).alias("n1"))
+    grams = corpus_trigrams(docs, text)
+    both = counted.groupBy("name").agg(F.sum(F.when(F.col("kind") == 0, F.col("n")).otherwise(0)).alias("n0"), F.sum(F.when(F.col("kind") == 1, F.col("n")).otherwise(0)).alias("n1"))
     lift = (F.col("n1") + 0.5) / (n1 + 1) / ((F.col("n0") + 0.5) / (n0 + 1))
     top = both.where((F.col("n1") >= LEAST_DOCS) & (lift >= LEAST_LIFT)).orderBy((F.col("n1") * F.log(lift)).desc(), "name").limit(FEATURES)
     names = [r["name"] for r in top.collect()]

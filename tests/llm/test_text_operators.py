@@ -365,6 +365,17 @@ def test_toxicity_learns_and_restores(spark):
     assert {r.doc_id for r in left.select("doc_id").collect()} == {r.doc_id for r in got if r.predicted == 0 and r.doc_id < 600}
 
 
+def test_character_model_counts_all_documents(spark):
+    texts = sentences(20, 60, 20)
+    texts += ["Zyzzyvas 中文字 œuvre", None, "zyzzyvas"] * 4
+    flags = [i % 2 == 0 for i in range(60)]
+    model = toxicity.fit(table(spark, texts), labelled(spark, flags, "toxic"))
+    words = Counter(w for x in texts for w in toxicity.WORD.findall((x or "").lower()))
+    assert toxicity.corpus_trigrams(table(spark, texts)) == dict(toxicity.trigrams(words))
+    assert model.counts["zzy"] == model.counts["yva"] == 8 and model.counts["^??"] == 4
+    assert model.ready().channel.restore("zyzzyv4s") == "zyzzyvas"
+
+
 def test_classifiers_without_labels(spark):
     none = labelled(spark, [], "toxic")
     assert [r.predicted for r in toxicity.score(table(spark, ["a"]), toxicity.fit(table(spark, ["a"]), none)).collect()] == [0]
