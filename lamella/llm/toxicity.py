@@ -40,6 +40,8 @@ WORD = re.compile(r"[^\W\d_]{3,24}")
 EDGE = "^"
 #: In trigrams, one character for every letter that no span can hold, so that their number has a bound that no corpus passes.
 OTHER, FOREIGN = "?", re.compile(rf"[^{_L}]")
+#: Characters of the longest span whose restoration is remembered; longer ones are decoded each time.
+MEMO_SPAN = 64
 #: Words that a task counts before it turns them into trigrams.
 WORDS_AT_ONCE = 300_000
 
@@ -54,6 +56,15 @@ def trigrams(words) -> Counter:
     return out
 
 
+def spelled(chain: tuple | None) -> str:
+    """The text of a path."""
+    out = []
+    while chain:
+        chain, text = chain
+        out.append(text)
+    return "".join(reversed(out))
+
+
 class Channel:
     """Restores the letters of altered spans."""
 
@@ -63,6 +74,7 @@ class Channel:
             pairs[gram[:2]] += n
         self.counts, self.pairs = dict(counts), dict(pairs)
         self.letters = len({g[2] for g in counts}) + 1
+        self.costs = Memo(lambda gram: self.cost(gram[:2], gram[2]))
         self.memo = Memo(self._decode)
 
     def cost(self, state: str, char: str) -> float:
@@ -70,32 +82,37 @@ class Channel:
         return -math.log((self.counts.get(state + char, 0) + 0.1) / (self.pairs.get(state, 0) + 0.1 * self.letters))
 
     def _decode(self, span: str) -> str:
-        paths: dict[str, tuple[float, str]] = {EDGE * 2: (0.0, "")}
-        before = ""
+        # A path is its cost and a chain of (chain before, text), which paths share.
+        cost_of, paths, before = self.costs.__getitem__, {EDGE * 2: (0.0, None)}, ""
         for char in span:
-            further: dict[str, tuple[float, str]] = {}
+            further: dict[str, tuple[float, tuple | None]] = {}
 
-            def reach(state: str, cost: float, text: str) -> None:
+            def reach(state: str, cost: float, chain: tuple | None, text: str = "") -> None:
                 if state not in further or cost < further[state][0]:
-                    further[state] = (cost, text)
+                    further[state] = (cost, (chain, text) if text else chain)
 
-            for state, (cost, text) in paths.items():
+            for state, (cost, chain) in paths.items():
                 if char in SIGNS:
                     for letter in SIGNS[char]:
-                        reach(state[1] + letter, cost + SIGN + self.cost(state, letter), text + letter)
-                    closed = 0.0 if state == EDGE * 2 else self.cost(state, EDGE)
-                    reach(EDGE * 2, cost + SELF + closed, text + char)
+                        reach(state[1] + letter, cost + SIGN + cost_of(state + letter), chain, letter)
+                    closed = 0.0 if state == EDGE * 2 else cost_of(state + EDGE)
+                    reach(EDGE * 2, cost + SELF + closed, chain, char)
                 elif char.isalpha():
-                    reach(state[1] + char, cost + self.cost(state, char), text + char)
+                    reach(state[1] + char, cost + cost_of(state + char), chain, char)
                     if char == before and state[1] == char:
-                        reach(state, cost + REPEAT, text)
+                        reach(state, cost + REPEAT, chain)
                 else:
-                    reach(state, cost + GAP, text)
-                    closed = 0.0 if state == EDGE * 2 else self.cost(state, EDGE)
-                    reach(EDGE * 2, cost + GAP + closed, text + char)
+                    reach(state, cost + GAP, chain)
+                    closed = 0.0 if state == EDGE * 2 else cost_of(state + EDGE)
+                    reach(EDGE * 2, cost + GAP + closed, chain, char)
             paths, before = further, char
-        ends = [(cost + (0.0 if state == EDGE * 2 else self.cost(state, EDGE)), text) for state, (cost, text) in paths.items()]
-        return min(ends)[1]
+        ends = [(cost + (0.0 if state == EDGE * 2 else cost_of(state + EDGE)), chain) for state, (cost, chain) in paths.items()]
+        least = min(cost for cost, _ in ends)
+        return min(spelled(chain) for cost, chain in ends if cost == least)
+
+    def _restored(self, match: re.Match) -> str:
+        span = match.group()
+        return self.memo[span] if len(span) <= MEMO_SPAN else self._decode(span)
 
     def restore(self, text: str) -> str:
         """The text in lower case with altered spans restored."""
@@ -103,7 +120,7 @@ class Channel:
         if not QUICK.search(text):
             return text
         self.memo.trim()
-        return SUSPECT.sub(lambda m: self.memo[m.group()] if len(m.group()) <= 64 else m.group(), text)
+        return SUSPECT.sub(self._restored, text)
 
 
 def features_of(word: str) -> list[str]:

@@ -376,6 +376,16 @@ def test_character_model_counts_all_documents(spark):
     assert model.ready().channel.restore("zyzzyv4s") == "zyzzyvas"
 
 
+def test_spans_of_any_length_are_decoded():
+    words = ["blockhead", "nobody", "reads", "these", "spelled", "phrases", "aloud"]
+    channel = toxicity.Channel(dict(toxicity.trigrams(dict.fromkeys(words, 1000))))
+    for word in words:
+        assert channel.restore(word[0] + word[1] * 5000 + word[2:]) == word
+    assert channel.restore(" ".join("8l0ckh3ad" * 8)).replace(" ", "") == "blockhead" * 8
+    assert channel.restore("b.l.o.c.k.h.e.a.d" + "." * 300_000 + "d").startswith("blockhead")
+    assert max(map(len, channel.memo), default=0) <= toxicity.MEMO_SPAN
+
+
 def test_classifiers_without_labels(spark):
     none = labelled(spark, [], "toxic")
     assert [r.predicted for r in toxicity.score(table(spark, ["a"]), toxicity.fit(table(spark, ["a"]), none)).collect()] == [0]
