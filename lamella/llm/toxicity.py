@@ -31,11 +31,14 @@ SIGN, SELF, GAP, REPEAT = 0.7, 4.0, 0.5, 0.5
 #: How often each learned word counts in the character model.
 LEXICON_WEIGHT = 40
 _L, _S = "a-zà-öø-ÿœ", "0-9@$!|+"
+_G = r"\s._*/-"
+#: Letters set apart, three at least, or a run with signs or separators between letters, signs before or after letters, or a letter three times.
 SUSPECT = re.compile(
-    rf"(?<!\S)[{_L}{_S}](?:[ ._*-][{_L}{_S}]){{3,}}(?!\S)"
-    rf"|(?<![{_L}{_S}])[{_L}{_S}._*-]*(?:[{_L}][{_S}._*-]+[{_L}]|(?<![{_L}{_S}])[{_S}]+[{_L}]{{2}}|([{_L}])\1\1)[{_L}{_S}._*-]*"
+    rf"(?<![{_L}{_S}])[{_L}{_S}](?:[{_G}]+[{_L}{_S}]){{2,}}(?![._*/-]*[{_L}{_S}])"
+    rf"|(?<![{_L}{_S}._*-])[{_L}{_S}._*-]*(?:[{_L}][{_S}._*-]+[{_L}]|(?<![{_L}{_S}])[{_S}]+[{_L}]{{2}}|[{_L}][{_S}]+(?![{_L}{_S}])|([{_L}])\1\1)[{_L}{_S}._*-]*"
 )
-QUICK = re.compile(rf"[{_L}][{_S}._*-]+[{_L}]|(?<!\S)[{_S}][{_S}{_L}][{_L}]|([{_L}])\1\1|(?<!\S)[{_L}{_S}](?: [{_L}{_S}]){{3}}")
+#: Found in whatever holds a suspect span: a sign beside a letter, separators between, a letter three times, letters set apart.
+QUICK = re.compile(rf"[{_L}][{_S}]|[{_S}][{_L}]|[{_L}][._*-]+[{_L}{_S}]|([{_L}])\1\1|[{_L}{_S}][{_G}]+[{_L}{_S}][{_G}]+[{_L}{_S}]")
 WORD = re.compile(r"[^\W\d_]{3,24}")
 EDGE = "^"
 #: In trigrams, one character for every letter that no span can hold, so that their number has a bound that no corpus passes.
@@ -95,8 +98,11 @@ class Channel:
                 if char in SIGNS:
                     for letter in SIGNS[char]:
                         reach(state[1] + letter, cost + SIGN + cost_of(state + letter), chain, letter)
+                        if char == before and state[1] == letter:
+                            reach(state, cost + REPEAT, chain)
                     closed = 0.0 if state == EDGE * 2 else cost_of(state + EDGE)
-                    reach(EDGE * 2, cost + SELF + closed, chain, char)
+                    # A sign that stands for itself again, as in "!!!", costs no more than a repetition.
+                    reach(EDGE * 2, cost + (REPEAT if char == before and state == EDGE * 2 else SELF) + closed, chain, char)
                 elif char.isalpha():
                     reach(state[1] + char, cost + cost_of(state + char), chain, char)
                     if char == before and state[1] == char:

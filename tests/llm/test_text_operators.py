@@ -386,6 +386,21 @@ def test_spans_of_any_length_are_decoded():
     assert max(map(len, channel.memo), default=0) <= toxicity.MEMO_SPAN
 
 
+def test_signs_and_spacing_anywhere_are_decoded():
+    words = ["idiot", "shit", "ass", "asshole", "moron", "fat", "nobody", "great"]
+    channel = toxicity.Channel(dict(toxicity.trigrams(dict.fromkeys(words, 1000))))
+    for altered, word in {
+        '"1diot"': '"idiot"', "(1diot)": "(idiot)", "555hit": "shit", "a$$": "ass", "asshol3": "asshole",
+        "m  o  r  o  n": "moron", "m\no\nr\no\nn": "moron", "m/o/r/o/n": "moron", "f a t": "fat", '"m o r o n",': '"moron",',
+        "idiot!!!": "idiot!!!", "great!": "great!",
+    }.items():
+        assert channel.restore(altered) == word, altered
+    rng = random.Random(6)
+    for _ in range(20_000):
+        text = "".join(rng.choices('ab1$!. -/\n_"', k=rng.randint(1, 9)))
+        assert toxicity.QUICK.search(text) or not toxicity.SUSPECT.search(text), text
+
+
 def test_classifiers_without_labels(spark):
     none = labelled(spark, [], "toxic")
     assert [r.predicted for r in toxicity.score(table(spark, ["a"]), toxicity.fit(table(spark, ["a"]), none)).collect()] == [0]
