@@ -154,14 +154,13 @@ class Encoder:
     Both known layouts split a text into pieces that are encoded independently, so the ids of a
     piece are remembered, and a new piece goes to the library's merging model alone. Splitting
     follows the file's own pattern for plain Latin text; any other text, and any other layout, is
-    encoded whole by the library.
+    encoded whole by the library, as is a text that holds one of the file's added tokens, in any case.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.library.encode_special_tokens = True
         self.model = self.library.model
         self.dtype = np.dtype("<u2") if self.library.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
         with open(path, encoding="utf-8") as f:
@@ -174,6 +173,8 @@ class Encoder:
             self.packed = self._words
         else:
             self.packed = self._whole
+        contents = sorted({x["content"].lower() for x in spec.get("added_tokens") or []})
+        self.added = re.compile("|".join(map(re.escape, contents)), re.IGNORECASE) if contents else None
         self.pieces = Memo(self._piece)
         self.spaced = Memo(lambda chunk: b"".join(map(self.pieces.__getitem__, BYTE_PIECE.findall(" " + chunk))))
         self.chunks = Memo(lambda chunk: b"".join(map(self.pieces.__getitem__, WORD_PIECE.findall(chunk))))
@@ -189,7 +190,7 @@ class Encoder:
         return self._little([x.id for x in self.model.tokenize(piece.encode().decode("latin-1").translate(ALPHABET))])
 
     def _byte_level(self, text: str) -> bytes:
-        if not PLAIN.fullmatch(text):
+        if not PLAIN.fullmatch(text) or (self.added and self.added.search(text)):
             return self._whole(text)
         self.trim()
         if "  " in text:
@@ -199,7 +200,7 @@ class Encoder:
         return head + b"".join(map(self.spaced.__getitem__, rest.split(" "))) if _ else head
 
     def _words(self, text: str) -> bytes:
-        if not PLAIN.fullmatch(text):
+        if not PLAIN.fullmatch(text) or (self.added and self.added.search(text)):
             return self._whole(text)
         self.trim()
         return b"".join(map(self.chunks.__getitem__, text.lower().split()))

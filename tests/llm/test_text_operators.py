@@ -37,6 +37,22 @@ def test_encoder_equals_the_library(path):
         assert enc.ids(text).tolist() == enc.library.encode(text, add_special_tokens=False).ids
 
 
+@pytest.mark.parametrize("path", [BYTE, WORD])
+def test_encoder_knows_added_tokens(path):
+    from tokenizers import Tokenizer
+
+    fresh, enc = Tokenizer.from_file(path), encoder(path)
+    added = [x.content for x in fresh.get_added_tokens_decoder().values()]
+    assert added
+    for token in added:
+        for text in (f"a {token} b", token, f"{token}{token}x", token.upper(), f"é\n{token}", f"中 {token} z", token[:-1], f"a  {token}'s 12"):
+            assert enc.ids(text).tolist() == fresh.encode(text, add_special_tokens=False).ids, text
+    assert fresh.token_to_id(added[0]) in enc.ids(f"a {added[0]} b")
+    rng = random.Random(5)
+    for text in ["".join(rng.choices("ab '\n.,1é<|>", k=40)) for _ in range(300)]:
+        assert enc.ids(text).tolist() == fresh.encode(text, add_special_tokens=False).ids, text
+
+
 def test_token_counts(spark):
     texts = EDGES + sentences(1, 30) + ["hot"] * 50
     got = [r.asDict() for r in token_counts.token_counts(table(spark, texts), BYTE).collect()]
