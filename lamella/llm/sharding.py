@@ -9,6 +9,8 @@ from __future__ import annotations
 import math
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -17,6 +19,8 @@ from .common import written
 HASH_BITS = 60
 #: Bits by which prefixes that are still too large are split in each further round.
 MORE_BITS = 4
+#: Parts and rows that a block of a hot hash holds, roughly.
+PARTS_A_BLOCK, ROWS_A_BLOCK = 64, 65_536
 
 
 def hashed(key: Column) -> Column:
@@ -28,14 +32,51 @@ def prefix(bits: Column | int, of: str = "h") -> Column:
     return F.call_function("shiftright", F.col(of), F.lit(HASH_BITS) - bits if isinstance(bits, Column) else F.lit(HASH_BITS - bits))
 
 
-def assign(docs: DataFrame, limit_bytes: int, id: str = "doc_id", text: str = "text") -> DataFrame:
+def _parts(rest: DataFrame, limit_bytes: int) -> DataFrame:
+    """Adds depth, node, part, shard_bytes and shard_docs to rows whose hashes exceed the limit alone.
+
+    The rows of a hash are dealt to blocks at random, and each block is cut on its own: a part closes
+    before the row that would pass the limit. The blocks' counts of parts, summed up, number them.
+    """
+    sized = rest.groupBy("h").agg(F.sum("n_bytes").alias("b"), F.count(F.lit(1)).alias("n"))
+    blocks = F.greatest(F.ceil(F.col("b") / F.lit(PARTS_A_BLOCK * limit_bytes)), F.ceil(F.col("n") / F.lit(ROWS_A_BLOCK)))
+    dealt = rest.join(F.broadcast(sized.select("h", blocks.alias("blocks"))), "h")
+    dealt = written(dealt.withColumn("block", F.floor(F.rand(7) * F.col("blocks")).cast("long")).drop("blocks"), "dealt")
+
+    def cut(table: pa.Table) -> pa.Table:
+        table = table.sort_by("n_bytes")
+        part, used, of = 0, 0, []
+        for n in table["n_bytes"].to_pylist():
+            if of and of[-1] == part and used + n > limit_bytes:
+                part, used = part + 1, 0
+            used += n
+            of.append(part)
+        sizes = np.zeros(part + 1, np.int64)
+        np.add.at(sizes, of, table["n_bytes"].to_numpy())
+        out = {"part": np.array(of, np.int64), "shard_bytes": sizes[of], "shard_docs": np.bincount(of).astype(np.int64)[of]}
+        for name, values in out.items():
+            table = table.append_column(name, pa.array(values))
+        return table
+
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in dealt.schema.fields)
+    done = written(dealt.groupBy("h", "block").applyInArrow(cut, f"{schema}, part long, shard_bytes long, shard_docs long"), "parts")
+    before = Window.partitionBy("h").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    counts = done.groupBy("h", "block").agg((F.max("part") + 1).alias("parts"))
+    first = counts.select("h", "block", F.coalesce(F.sum("parts").over(before), F.lit(0)).alias("first"))
+    numbered = done.join(F.broadcast(first), ["h", "block"])
+    return numbered.withColumn("part", F.col("part") + F.col("first")).drop("first", "block").withColumn("depth", F.lit(HASH_BITS)).withColumn("node", F.col("h"))
+
+
+def assign(docs: DataFrame, limit_bytes: int, id: str = "doc_id", text: str = "text", row: str | None = None) -> DataFrame:
     """doc_id, n_bytes, shard, depth, shard_bytes, shard_docs, oversized for every row.
 
     shard is the prefix in binary digits (the empty prefix: "-"), with a part number after a dot
     where rows of one and the same hash exceed the limit together. A document larger than the limit
-    has a shard of its own, marked oversized. Null and empty texts have no bytes.
+    has a shard of its own, marked oversized. Null and empty texts have no bytes. The column `row`,
+    where one is named, is kept as _row.
     """
-    rows = written(docs.select(F.col(id).alias("doc_id"), F.octet_length(F.coalesce(F.col(text), F.lit(""))).cast("long").alias("n_bytes"), hashed(F.col(id)).alias("h")), "hashed")
+    kept = [] if row is None else [F.col(row).alias("_row")]
+    rows = written(docs.select(*kept, F.col(id).alias("doc_id"), F.octet_length(F.coalesce(F.col(text), F.lit(""))).cast("long").alias("n_bytes"), hashed(F.col(id)).alias("h")), "hashed")
     total = rows.agg(F.sum("n_bytes")).first()[0] or 0
     low, high = 0, min(HASH_BITS, max(0, math.ceil(math.log2(max(1, total / limit_bytes)))) + 3)
     found, rest = [], rows
@@ -52,13 +93,7 @@ def assign(docs: DataFrame, limit_bytes: int, id: str = "doc_id", text: str = "t
         if rest.isEmpty():
             break
         if high == HASH_BITS:
-            # Rows of one hash: cut by running bytes.
-            # A part starts where the bytes before it pass a multiple of the limit, so it may end beyond it by one row.
-            order = Window.partitionBy("h").orderBy("doc_id", "n_bytes").rowsBetween(Window.unboundedPreceding, -1)
-            parts = rest.withColumn("part", (F.coalesce(F.sum("n_bytes").over(order), F.lit(0)) / F.lit(limit_bytes)).cast("int"))
-            parts = parts.withColumn("depth", F.lit(HASH_BITS)).withColumn("node", F.col("h"))
-            of = Window.partitionBy("h", "part")
-            found.append(parts.withColumn("shard_bytes", F.sum("n_bytes").over(of)).withColumn("shard_docs", F.count(F.lit(1)).over(of)))
+            found.append(_parts(rest, limit_bytes))
             break
         rest = written(rest, "oversized")
         low, high = high + 1, min(HASH_BITS, high + MORE_BITS)
@@ -71,17 +106,24 @@ def assign(docs: DataFrame, limit_bytes: int, id: str = "doc_id", text: str = "t
         "shard_bytes",
         "shard_docs",
         (F.col("shard_bytes") > limit_bytes).alias("oversized"),
+        *(["_row"] if kept else []),
     )
 
 
 def write_shards(docs: DataFrame, path: str, limit_bytes: int, id: str = "doc_id", text: str = "text") -> str:
     """Writes the documents with a folder for each shard; returns the name of the folders' column.
 
-    The name is "shard", with underscores after it where the documents have such a column.
+    The name is "shard", with underscores after it where the documents have such a column. Folders
+    are named by digits; read them as strings (Spark's inference of partition types takes some for numbers).
     """
     name = "shard"
     while name in docs.columns:
         name += "_"
-    where = assign(docs, limit_bytes, id, text).groupBy(F.col("doc_id").alias("_id")).agg(F.min("shard").alias(name))
-    docs.join(where, docs[id].eqNullSafe(where["_id"])).select(*[docs[f"`{c}`"] for c in docs.columns], where[name]).write.partitionBy(name).parquet(path)
+    number = "_row"
+    while number in docs.columns:
+        number += "_"
+    # Numbers are written with the rows, so rows of one id can go to different shards.
+    numbered = written(docs.withColumn(number, F.monotonically_increasing_id()), "numbered")
+    where = assign(numbered, limit_bytes, id, text, number).select(F.col("_row").alias("_of"), F.col("shard").alias(name))
+    numbered.join(where, numbered[number] == where["_of"]).select(*[numbered[f"`{c}`"] for c in docs.columns], where[name]).write.partitionBy(name).parquet(path)
     return name

@@ -494,3 +494,18 @@ def test_shard_folders(spark):
     assert name == "shard_"
     back = spark.read.parquet(path)
     assert back.count() == 40 and back.select(name).distinct().count() > 1
+
+
+def test_shards_of_a_hot_key_keep_the_limit(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "PARTS_A_BLOCK", 2)
+    texts = [x[: 90 + i] for i, x in enumerate(sentences(15, 60, 60))] + ["y" * 1500, None] + sentences(16, 20, 10)
+    ids = [9] * 40 + [None] * 22 + list(range(100, 120))
+    docs = table(spark, texts, ids)
+    path = scratch_path(spark, "hot")
+    name = sharding.write_shards(docs, path, 1000)
+    back = spark.read.parquet(path).selectExpr("doc_id", "text", "input_file_name() as file").collect()
+    assert Counter((r.doc_id, r.text) for r in back) == Counter(zip(ids, texts))
+    folders = {}
+    for r in back:
+        folders.setdefault(r.file.split(f"/{name}=")[1].split("/")[0], []).append(len((r.text or "").encode()))
+    assert all(sum(x) <= 1000 or len(x) == 1 for x in folders.values()), folders
