@@ -6,21 +6,28 @@ import atexit
 import gc
 import json
 import re
+import shutil
 import sys
 import time
 import uuid
 from array import array
 from collections.abc import Callable, Iterator
+from weakref import WeakSet
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
+from py4j.protocol import Py4JError
 from pyspark.sql import functions as F
 
-#: Entries that one worker keeps of each memo before it starts afresh.
-MEMO_ENTRIES = 900_000
-#: Rows handled at once within an Arrow batch, so that long texts do not pile up.
-ROWS_AT_ONCE = 512
+#: Bytes that a memo may take, both generations together; an operator has one to three in a worker.
+MEMO_BYTES = 1 << 29
+#: Bytes of a memo's entry besides its key and value, roughly.
+ENTRY_BYTES = 110
+#: Rows handled at once within an Arrow batch, and their bytes on average, so that long texts do not pile up.
+ROWS_AT_ONCE, BYTES_AT_ONCE = 512, 4 << 20
+#: A key is hot that holds more than one in so many of all rows: there are fewer such keys than this.
+HOT_KEYS = 4096
 LITTLE = sys.byteorder == "little"
 
 
@@ -38,16 +45,19 @@ _bases: dict[str, str] = {}
 def scratch_base(spark: SparkSession) -> str:
     """A folder of this application below spark.checkpoint.dir, which all executors share.
 
-    Where the setting is absent (tests, local mode) a local folder is set.
+    In local mode a local folder is set where the setting is absent; on a cluster that is an error,
+    since each machine would write to a folder of its own.
     """
     app = spark.sparkContext.applicationId
     if app not in _bases:
         base = spark.conf.get("spark.checkpoint.dir", None)
         if not base:
+            if not re.match(r"local(\[|$)", spark.sparkContext.master):
+                raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
             base = "file:///tmp/checkpoints/lamella"
             spark.sparkContext.setCheckpointDir(base)
         _bases[app] = f"{base.rstrip('/')}/lamella-{app}"
-        atexit.register(drop_scratch, spark)
+        atexit.register(drop_scratch, spark, app)
     return _bases[app]
 
 
@@ -55,15 +65,25 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{scratch_base(spark)}/{name}-{uuid.uuid4().hex[:12]}"
 
 
-def drop_scratch(spark: SparkSession) -> None:
-    """Deletes this application's scratch tables; their DataFrames can no longer be read."""
-    try:
-        base = _bases.pop(spark.sparkContext.applicationId, None)
-        if base:
-            path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(base)
-            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-    except Exception:  # the JVM may have ended already
+def drop(spark: SparkSession, path: str) -> None:
+    """Deletes a folder of any store that Spark writes to."""
+    found = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    found.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(found, True)
+
+
+def drop_scratch(spark: SparkSession, app: str | None = None) -> None:
+    """Deletes an application's scratch tables; their DataFrames can no longer be read.
+
+    After the session's end only a folder of the local mode can still be deleted.
+    """
+    base = _bases.pop(app or spark.sparkContext.applicationId, None)
+    if base is None:
         return
+    try:
+        drop(spark, base)
+    except (Py4JError, OSError, AttributeError):  # the JVM has ended
+        if base.startswith("file:///"):
+            shutil.rmtree(base[7:], ignore_errors=True)
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -101,39 +121,91 @@ def without_dropped(docs: DataFrame, decided: DataFrame, id: str, text: str, key
     return left.unionByName(docs.join(repeats, match(repeats), "left_semi").dropDuplicates([id, text]))
 
 
+def slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """The batch in slices of at most ROWS_AT_ONCE rows, fewer where rows are long."""
+    step = max(1, min(ROWS_AT_ONCE, batch.num_rows * BYTES_AT_ONCE // max(1, batch.nbytes)))
+    for at in range(0, batch.num_rows, step):
+        yield batch.slice(at, step)
+
+
+_owner: list[str | None] = [None]
+
+
+def claim(owner: str) -> None:
+    """Notes which operator a worker, which Spark uses again, now serves."""
+    if _owner[0] != owner:
+        _owner[0] = owner
+
+
 def arrow_map(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch | None]], schema: str) -> DataFrame:
-    """mapInArrow over slices of ROWS_AT_ONCE rows; make() runs once a task."""
+    """mapInArrow over slices of the batches; make() runs once a task."""
+    owner = make.__module__
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim(owner)
         each = make()
         for batch in batches:
-            for at in range(0, batch.num_rows, ROWS_AT_ONCE):
-                out = each(batch.slice(at, ROWS_AT_ONCE))
+            for part in slices(batch):
+                out = each(part)
                 if out is not None and out.num_rows:
                     yield out
 
     return df.mapInArrow(run, schema)
 
 
+def join_facts(rows: DataFrame, facts: DataFrame, keys: list[str], size: str, total: int) -> DataFrame:
+    """rows joined with the one row that facts have for each key; `size` counts a key's rows, `total` all.
+
+    Keys with more than total / HOT_KEYS rows are fewer than HOT_KEYS whatever the input, so their
+    facts are broadcast and their rows stay where they are; no other key is large enough to matter
+    to a shuffle. Both tables are read twice, so they should be written ones.
+    """
+    least = total // HOT_KEYS
+    hot = F.broadcast(facts.where(F.col(size) > least))
+    cold = rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(facts.where(F.col(size) <= least), keys)
+    return rows.join(hot, keys).unionByName(cold)
+
+
 def held_out(doc_id: Column) -> Column:
     """crc32 of the id as text leaves 0 modulo 5."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 5 == 0
 
 
 class Memo(dict):
-    """A dict that fills itself by a function."""
+    """A dict that fills itself by a function and forgets by bytes.
+
+    When its entries take half of `most` bytes they become the older generation, and the older ones
+    are dropped; an older entry that is asked for again is young again. Frequent keys stay, and one
+    text of any length cannot make it grow beyond its bound.
+    """
+
+    __hash__, __eq__ = object.__hash__, object.__eq__
 
-    def __init__(self, make: Callable):
+    def __init__(self, make: Callable, most: int | None = None):
         super().__init__()
-        self.make = make
+        self.make, self.most = make, most or MEMO_BYTES
+        self.older: dict = {}
+        self.used = 0
+        _memos.add(self)
 
     def __missing__(self, key):
-        value = self[key] = self.make(key)
+        value = self.older.pop(key, None)
+        if value is None:
+            value = self.make(key)
+        self.used += ENTRY_BYTES + sys.getsizeof(key) + sys.getsizeof(value)
+        if 2 * self.used > self.most:
+            self.older = dict(self)
+            self.clear()
+            self.used = 0
+        self[key] = value
         return value
 
-    def trim(self) -> None:
-        if len(self) > MEMO_ENTRIES:
-            self.clear()
+    def forget(self) -> None:
+        self.clear()
+        self.older, self.used = {}, 0
+
+
+_memos: WeakSet[Memo] = WeakSet()
 
 
 #: Letters and digits of ASCII and Latin-1 by Unicode category (fixed values).
@@ -163,17 +235,18 @@ class Encoder:
         self.library = Tokenizer.from_file(path)
         self.model = self.library.model
         self.dtype = np.dtype("<u2") if self.library.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
-        with open(path, encoding="utf-8") as f:
-            spec = json.load(f)
-        normalizers = [x["type"] for x in (spec["normalizer"] or {}).get("normalizers", [])]
-        pre = spec["pre_tokenizer"] or {}
-        if spec["normalizer"] is None and pre.get("type") == "ByteLevel" and pre.get("use_regex") and not pre.get("add_prefix_space"):
+        def state(part) -> dict:
+            return json.loads(part.__getstate__()) if part is not None else {}
+
+        normalizers = [x["type"] for x in state(self.library.normalizer).get("normalizers", [])]
+        pre = state(self.library.pre_tokenizer)
+        if self.library.normalizer is None and pre.get("type") == "ByteLevel" and pre.get("use_regex") and not pre.get("add_prefix_space"):
             self.packed = self._byte_level
         elif normalizers == ["NFC", "Replace", "Lowercase"] and [x["type"] for x in pre.get("pretokenizers", [])] == ["Split", "ByteLevel"]:
             self.packed = self._words
         else:
             self.packed = self._whole
-        contents = sorted({x["content"].lower() for x in spec.get("added_tokens") or []})
+        contents = sorted({x.content.lower() for x in self.library.get_added_tokens_decoder().values()})
         self.added = re.compile("|".join(map(re.escape, contents)), re.IGNORECASE) if contents else None
         self.pieces = Memo(self._piece)
         self.spaced = Memo(lambda chunk: b"".join(map(self.pieces.__getitem__, BYTE_PIECE.findall(" " + chunk))))
@@ -192,7 +265,6 @@ class Encoder:
     def _byte_level(self, text: str) -> bytes:
         if not PLAIN.fullmatch(text) or (self.added and self.added.search(text)):
             return self._whole(text)
-        self.trim()
         if "  " in text:
             return b"".join(map(self.pieces.__getitem__, BYTE_PIECE.findall(text)))
         first, _, rest = text.partition(" ")
@@ -202,13 +274,8 @@ class Encoder:
     def _words(self, text: str) -> bytes:
         if not PLAIN.fullmatch(text) or (self.added and self.added.search(text)):
             return self._whole(text)
-        self.trim()
         return b"".join(map(self.chunks.__getitem__, text.lower().split()))
 
-    def trim(self) -> None:
-        for memo in (self.pieces, self.spaced, self.chunks):
-            memo.trim()
-
     def ids(self, text: str) -> np.ndarray:
         return np.frombuffer(self.packed(text), self.dtype)
 
