@@ -20,36 +20,41 @@ from pyspark.sql import functions as F
 
 from .common import arrow_map, encoder, strings, written
 
-#: Rows of one length that a ranking task may get, before salts divide them.
+#: Rows of one length that a ranking task gets, roughly: a length with more is divided by salts.
 ROWS_PER_SALT = 20_000
-LEAST_SALTS = 64
 
 
-def cut_pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int, id: str = "doc_id", text: str = "text") -> DataFrame:
-    """A row for each piece of at most `capacity` ids: doc_id, piece, start, length, ids_crc32, ids.
+PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
+
+
+def cut_pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int, id: str = "doc_id", text: str = "text", ids: bool = False) -> DataFrame:
+    """A row for each piece of at most `capacity` ids: doc_id, piece, start, length, ids_crc32.
 
     Every document ends with end_id, so empty and null texts have one piece of one id. Only
-    documents beyond the capacity are cut. ids are little-endian unsigned 32-bit numbers.
+    documents beyond the capacity are cut. With ids=True the column ids has them as little-endian
+    unsigned 32-bit numbers. The id must be a whole number or null; other columns are left out.
     """
+    schema = PIECE + ", ids binary" * ids
+    names = [x.split()[0] for x in schema.split(", ")]
 
     def make():
         enc = encoder(tokenizer)
 
         def each(batch):
             keys = batch.column(batch.schema.get_field_index(id)).to_pylist()
-            out: list[list] = [[], [], [], [], [], []]
+            out: list[list] = [[] for _ in names]
             for key, x in zip(keys, strings(batch, text)):
-                ids = np.append(enc.ids(x).astype("<u4"), np.uint32(end_id)).astype("<u4")
-                for piece, start in enumerate(range(0, len(ids), capacity)):
-                    raw = ids[start : start + capacity].tobytes()
+                found = np.append(enc.ids(x).astype("<u4"), np.uint32(end_id)).astype("<u4")
+                for piece, start in enumerate(range(0, len(found), capacity)):
+                    raw = found[start : start + capacity].tobytes()
                     for column, value in zip(out, (key, piece, start, len(raw) // 4, zlib.crc32(raw), raw)):
                         column.append(value)
             kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
-            return pa.record_batch([pa.array(x, k) for x, k in zip(out, kinds)], ["doc_id", "piece", "start", "length", "ids_crc32", "ids"])
+            return pa.record_batch([pa.array(x, k) for x, k in zip(out, kinds)], names)
 
         return each
 
-    return arrow_map(docs.select(F.col(id).cast("long").alias(id), text), make, "doc_id long, piece int, start long, length long, ids_crc32 long, ids binary")
+    return arrow_map(docs.select(F.col(id).cast("long").alias(id), text), make, schema)
 
 
 def plan(histogram: dict[int, int], capacity: int) -> np.ndarray:
@@ -151,13 +156,15 @@ def pack(items: DataFrame, capacity: int, length: str = "length", order: tuple[s
     table: it is read twice. The histogram has at most `capacity` + 1 rows that matter.
     """
     taken = F.least(F.col(length), F.lit(capacity + 1))
-    counted = items.where(F.col(length) > 0).groupBy(taken.alias("k")).count().collect()
-    histogram = {int(r["k"]): int(r["count"]) for r in counted}
+    k = F.when(F.col(length) > 0, taken).otherwise(0).cast("long")
+    counts = {r["k"]: r["count"] for r in items.groupBy(k.alias("k")).count().collect()}
+    histogram = {n: counts[n] for n in counts if n}
     runs = plan(histogram, capacity)
     runs = runs[np.lexsort((runs[:, 1], runs[:, 0]))]
-    total = sum(histogram.values())
-    salts = max(LEAST_SALTS, total // ROWS_PER_SALT)
-    keyed = items.withColumn("_k", F.when(F.col(length) > 0, taken).otherwise(0)).withColumn("_salt", F.pmod(F.xxhash64(*order), F.lit(salts)))
+    # A row for each length that occurs, so at most capacity + 2: small at any size of input.
+    salts = F.broadcast(items.sparkSession.createDataFrame([(n, 1 + counts[n] // ROWS_PER_SALT) for n in sorted(counts)], "_k long, _salts long"))
+    keyed = items.withColumn("_k", k).join(salts, "_k")
+    keyed = keyed.withColumn("_salt", F.pmod(F.xxhash64(*order), F.col("_salts"))).drop("_salts")
     sums = keyed.groupBy("_k", "_salt").agg(F.count(F.lit(1)).alias("_n"))
     before = Window.partitionBy("_k").orderBy("_salt").rowsBetween(Window.unboundedPreceding, -1)
     bases = sums.select("_k", "_salt", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
@@ -186,6 +193,8 @@ def pack(items: DataFrame, capacity: int, length: str = "length", order: tuple[s
 
 
 def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = 4096, end_id: int = 1) -> DataFrame:
-    """The documents' pieces in sequences of at most `capacity` ids; ids are left out."""
-    pieces = cut_pieces(docs, tokenizer, capacity, end_id).drop("ids")
-    return pack(written(pieces, "pieces"), capacity)
+    """The documents' pieces in sequences of at most `capacity` ids, without the ids themselves.
+
+    Columns of docs other than doc_id and text are left out. An empty table gives no rows.
+    """
+    return pack(written(cut_pieces(docs, tokenizer, capacity, end_id, ids=True).drop("ids"), "pieces"), capacity)
