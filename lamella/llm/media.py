@@ -2,8 +2,9 @@
 
 A rolling gear hash over the last 32 bytes cuts payloads where its upper bits are zero, so equal
 passages give equal chunks wherever they stand. A Spark join on the chunk digests names one owner of
-each chunk; the store holds, for each distinct payload, its ordered chunk list and the bytes of the
-chunks that it owns. Reading fetches the others from their owners and verifies every digest.
+each chunk; the store holds, for each distinct payload, a form: a header, its ordered chunk list and
+the bytes of the chunks that it owns. Reading fetches the others from their owners and verifies every
+digest. media_bytes and media_sha256 are those of the stored form as it was read back.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, release, strings, written
+from .common import HOT_KEYS, arrow_map, join_facts, release, strings, written
 
 UNIT = 576
 FILL = b"\xff"
@@ -25,7 +26,9 @@ FILL = b"\xff"
 LEAST, MOST, CUT_BITS = 512, 8192, 11
 DIGEST = 16
 ENTRY = DIGEST + 4
-MAGIC = b"LAMCHNK1"
+MAGIC = b"LAMCHNK2"
+#: A form's header: the magic, the payload's bytes and the number of its chunks.
+HEAD = struct.Struct("<8sQI")
 #: A 32-bit number for each byte value, by a multiplicative rule.
 GEAR = ((np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(31)).astype(np.uint32)
 
@@ -86,13 +89,29 @@ def features(data: bytes) -> str:
     return f"mean={mean:.4f};std={deviation:.4f};entropy={float(-(some * np.log2(some)).sum()):.4f}"
 
 
+def form_of(size: int, chunks: bytes, own: bytes) -> bytes:
+    return HEAD.pack(MAGIC, size, len(chunks) // ENTRY) + chunks + own
+
+
+def parsed(form: bytes) -> tuple[int, list[tuple[bytes, int]], bytes]:
+    """The payload's bytes, the chunk list and the owned bytes of a form."""
+    magic, size, n = HEAD.unpack_from(form)
+    if magic != MAGIC:
+        raise ValueError("no stored payload")
+    end = HEAD.size + n * ENTRY
+    return size, list(struct.iter_unpack(f"<{DIGEST}sI", form[HEAD.size : end])), form[end:]
+
+
 def _lists(docs: DataFrame) -> DataFrame:
     def make():
         def each(batch):
-            out = [(len(p := payload(x)), len(x.encode("utf-8", "surrogatepass")), chunk_list(p)[0]) for x in strings(batch, "text")]
-            size, raw, lists = zip(*out) if out else ((), (), ())
+            out = []
+            for x in strings(batch, "text"):
+                data = payload(x)
+                out.append((len(x) if x.isascii() else len(x.encode("utf-8", "surrogatepass")), len(data), chunk_list(data)[0]))
             kept = batch.select(["doc_id", "text_key"]).columns
-            return pa.record_batch([*kept, pa.array(raw, pa.int64()), pa.array(size, pa.int64()), pa.array(lists, pa.binary())], ["doc_id", "text_key", "n_bytes", "payload_bytes", "chunks"])
+            kinds = (pa.int64(), pa.int64(), pa.binary())
+            return pa.record_batch([*kept, *[pa.array(c, k) for c, k in zip(zip(*out), kinds)]], ["doc_id", "text_key", "n_bytes", "payload_bytes", "chunks"])
 
         return each
 
@@ -116,26 +135,31 @@ def _packed(docs: DataFrame) -> DataFrame:
     return arrow_map(docs.select("doc_id", "text_key", "text"), make, "doc_id long, text_key binary, z binary")
 
 
-def store(docs: DataFrame, path: str, id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Writes the store and returns its index: doc_id, n_bytes, payload_bytes, rep for every row.
+def store(docs: DataFrame, path: str, id: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
+    """Writes the store; returns doc_id, text_key, n_bytes of every row, and text_key, rep, n of every distinct text.
 
-    The store has a row for each distinct text: rep, chunks (its list), owners (rep and place of each
-    chunk's owner), shared (owned chunks that others refer to), own (the bytes of owned chunks).
+    The store has a row for each distinct text: rep, form, owners and places (rep and place of each
+    chunk's owner; null where all are its own first ones), shared (owned chunks that others refer to).
+    The least hash of the text's digest owns a chunk, so a text's form does not depend on the run.
     """
     spark = docs.sparkSession
     value = F.coalesce(F.col(text), F.lit(""))
     source = docs.select(F.col(id).cast("long").alias("doc_id"), F.unhex(F.sha2(value.cast("binary"), 256)).alias("text_key"), value.alias("text"))
     lists = written(_lists(source), "lists")
     one = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "chunks")).alias("one")
-    reps = lists.groupBy("text_key").agg(one).select("text_key", F.monotonically_increasing_id().alias("rep"), F.col("one.doc_id").alias("doc_id"), F.col("one.chunks").alias("chunks"))
+    reps = lists.groupBy("text_key").agg(one, F.count(F.lit(1)).alias("n")).select("text_key", "n", F.monotonically_increasing_id().alias("rep"), F.col("one.doc_id").alias("doc_id"), F.col("one.chunks").alias("chunks"))
     reps = written(reps, "reps")
     release(spark)
 
-    places = reps.select("rep", "chunks", F.explode(F.sequence(F.lit(0), (F.length("chunks") / ENTRY).cast("int") - 1)).alias("place"))
-    places = places.select("rep", "place", F.expr(f"substring(chunks, place * {ENTRY} + 1, {DIGEST})").alias("digest"))
-    owners = places.groupBy("digest").agg(F.min(F.struct("rep", "place")).alias("owner"), (F.count(F.lit(1)) > 1).alias("shared"))
-    owned = places.join(owners, "digest").groupBy("rep").agg(F.sort_array(F.collect_list(F.struct("place", F.col("owner.rep").alias("owner"), F.col("owner.place").alias("at"), "shared"))).alias("owners"))
-    flagged = written(reps.join(owned, "rep"), "flagged")
+    places = reps.select("rep", F.xxhash64("text_key").alias("order"), "chunks", F.explode(F.sequence(F.lit(0), (F.length("chunks") / ENTRY).cast("int") - 1)).alias("place"))
+    places = places.select("rep", "order", "place", F.expr(f"substring(chunks, place * {ENTRY} + 1, {DIGEST})").alias("digest"))
+    owners = places.groupBy("digest").agg(F.min(F.struct("order", "rep", "place")).alias("owner"), F.count(F.lit(1)).alias("uses"))
+    # Only a chunk that is used more than once has another owner than its own place; the others need no join.
+    owners = written(owners.where("uses > 1"), "owners")
+    uses = owners.agg(F.sum("uses")).first()[0] or 0
+    found = join_facts(places.select("rep", "place", "digest"), owners, ["digest"], "uses", uses)
+    found = found.groupBy("rep").agg(F.sort_array(F.collect_list(F.struct("place", F.col("owner.rep").alias("owner"), F.col("owner.place").alias("at")))).alias("owners"))
+    flagged = written(reps.select("rep", "doc_id", "text_key", "chunks").join(found, "rep", "left"), "flagged")
     release(spark)
 
     wanted = flagged.withColumnsRenamed({"doc_id": "_doc", "text_key": "_key"})
@@ -150,32 +174,30 @@ def store(docs: DataFrame, path: str, id: str = "doc_id", text: str = "text") ->
 
         def each(batch):
             out = []
-            for rep, z, chunks, owners in zip(*(batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("rep", "z", "chunks", "owners"))):
+            for rep, z, chunks, known in zip(*(batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("rep", "z", "chunks", "owners"))):
                 data = unpack.decompress(z)
-                own, at = [], 0
-                for (size,), x in zip(struct.iter_unpack(f"<{DIGEST}xI", chunks), owners):
-                    if (x["owner"], x["at"]) == (rep, x["place"]):
+                of = {x["place"]: (x["owner"], x["at"]) for x in known or ()}
+                own, at, owners, shared = [], 0, [], []
+                for i, (size,) in enumerate(struct.iter_unpack(f"<{DIGEST}xI", chunks)):
+                    owner = of.get(i, (rep, i))
+                    owners.append(owner)
+                    shared.append(i in of and owner == (rep, i))
+                    if owner == (rep, i):
                         own.append(data[at : at + size])
                     at += size
-                foreign = [(x["owner"], x["at"]) != (rep, x["place"]) for x in owners]
-                shared = [x["shared"] and not f for x, f in zip(owners, foreign)]
-                out.append((rep, chunks, [x["owner"] for x in owners] if any(foreign) else None, [x["at"] for x in owners] if any(foreign) else None, shared if any(shared) else None, b"".join(own)))
-            columns = zip(*out)
-            kinds = (pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.bool_()), pa.binary())
-            return pa.record_batch([pa.array(c, k) for c, k in zip(columns, kinds)], ["rep", "chunks", "owners", "places", "shared", "own"])
+                foreign = any(x != (rep, i) for i, x in enumerate(owners))
+                out.append((rep, form_of(len(data), chunks, b"".join(own)), [x for x, _ in owners] if foreign else None, [x for _, x in owners] if foreign else None, shared if any(shared) else None))
+            kinds = (pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.bool_()))
+            return pa.record_batch([pa.array(c, k) for c, k in zip(zip(*out), kinds)], ["rep", "form", "owners", "places", "shared"])
 
         return each
 
-    rows = arrow_map(joined, make, "rep long, chunks binary, owners array<long>, places array<int>, shared array<boolean>, own binary")
+    rows = arrow_map(joined, make, "rep long, form binary, owners array<long>, places array<int>, shared array<boolean>")
     # Rows that repeat an id and a text meet here with one rep; one of them is enough.
     repeated = not lists.groupBy("text_key", "doc_id").count().where("count > 1").isEmpty()
     (rows.dropDuplicates(["rep"]) if repeated else rows).write.option("compression", "zstd").option("parquet.compression.codec.zstd.level", "9").parquet(path)
     release(spark)
-    return lists.select("doc_id", "text_key", "n_bytes").join(reps.select("text_key", "rep"), "text_key").select("doc_id", "n_bytes", "rep")
-
-
-def _entries(chunks: bytes) -> list[tuple[bytes, int]]:
-    return list(struct.iter_unpack(f"<{DIGEST}sI", chunks))
+    return lists.select("doc_id", "text_key", "n_bytes"), reps.select("text_key", "rep", "n")
 
 
 def _exports(stored: DataFrame) -> DataFrame:
@@ -184,9 +206,10 @@ def _exports(stored: DataFrame) -> DataFrame:
     def make():
         def each(batch):
             out: list[tuple] = []
-            for rep, chunks, owners, places, shared, own in zip(*(batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("rep", "chunks", "owners", "places", "shared", "own"))):
+            for rep, form, owners, places, shared in zip(*(batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("rep", "form", "owners", "places", "shared"))):
                 at = 0
-                for i, (_, size) in enumerate(_entries(chunks)):
+                _, entries, own = parsed(form)
+                for i, (_, size) in enumerate(entries):
                     if owners is None or (owners[i], places[i]) == (rep, i):
                         if shared[i]:
                             out.append((rep, i, own[at : at + size]))
@@ -207,11 +230,11 @@ def _rebuilt(rows: DataFrame) -> DataFrame:
     def make():
         def each(batch):
             out = []
-            names = ("rep", "chunks", "owners", "places", "own", "fetched")
-            for rep, chunks, owners, places, own, fetched in zip(*(batch.column(batch.schema.get_field_index(c)).to_pylist() for c in names)):
+            names = ("rep", "form", "owners", "places", "fetched")
+            for rep, form, owners, places, fetched in zip(*(batch.column(batch.schema.get_field_index(c)).to_pylist() for c in names)):
                 got = {(x["owner"], x["at"]): x["bytes"] for x in fetched or ()}
                 parts, at = [], 0
-                entries = _entries(chunks)
+                whole, entries, own = parsed(form)
                 for i, (want, size) in enumerate(entries):
                     if owners is None or (owners[i], places[i]) == (rep, i):
                         part = own[at : at + size]
@@ -222,24 +245,24 @@ def _rebuilt(rows: DataFrame) -> DataFrame:
                         raise ValueError(f"chunk {i} of payload {rep} does not match its digest")
                     parts.append(part)
                 data = b"".join(parts)
-                head = MAGIC + struct.pack("<QI", len(data), len(entries)) + chunks
-                form = hashlib.sha256(head)
-                form.update(data)
-                out.append((rep, len(data), hashlib.sha256(data).hexdigest(), zlib.crc32(data[-32:]), len(head) + len(data), form.hexdigest(), len(entries), features(data)))
+                if len(data) != whole:
+                    raise ValueError(f"payload {rep} has not the stored size")
+                out.append((rep, whole, hashlib.sha256(data).hexdigest(), zlib.crc32(data[-32:]), len(form), hashlib.sha256(form).hexdigest(), len(entries), features(data)))
             kinds = (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.int32(), pa.string())
             return pa.record_batch([pa.array(c, k) for c, k in zip(zip(*out), kinds)], [x.split()[0] for x in READ.split(", ")])
 
         return each
 
-    return arrow_map(rows.select("rep", "chunks", "owners", "places", "own", "fetched"), make, READ)
+    return arrow_map(rows.select("rep", "form", "owners", "places", "fetched"), make, READ)
 
 
-def read(spark, path: str) -> DataFrame:
-    """One row per distinct text, computed from the stored bytes alone."""
+def read(spark, path: str, only: DataFrame | None = None) -> DataFrame:
+    """One row per distinct text (only: those of a small table of reps), computed from the stored bytes alone."""
     stored = spark.read.parquet(path)
+    asking = stored if only is None else stored.join(F.broadcast(only), "rep", "left_semi")
     fetched = "array<struct<owner:bigint,at:int,bytes:binary>>"
-    alone = stored.where("owners is null").withColumn("fetched", F.lit(None).cast(fetched))
-    others = stored.where("owners is not null")
+    alone = asking.where("owners is null").withColumn("fetched", F.lit(None).cast(fetched))
+    others = asking.where("owners is not null")
     asked = others.select("rep", F.explode(F.array_distinct(F.arrays_zip(F.col("owners").alias("owner"), F.col("places").alias("at")))).alias("x"))
     asked = asked.select("rep", F.col("x.owner").alias("owner"), F.col("x.at").alias("at")).where("owner != rep")
     sent = asked.join(_exports(stored), ["owner", "at"]).groupBy("rep").agg(F.collect_list(F.struct("owner", "at", "bytes")).alias("fetched"))
@@ -249,7 +272,16 @@ def read(spark, path: str) -> DataFrame:
 def media(docs: DataFrame, path: str, id: str = "doc_id", text: str = "text") -> DataFrame:
     """Stores all payloads below path and returns what is read back, a row for every input row.
 
-    Null texts count as empty: their payload is 576 bytes 255. Equal texts have equal values.
+    Null texts count as empty: their payload is 576 bytes 255. Equal texts have equal values. The id
+    must be a whole number or null; other columns are left out. An empty table gives no rows.
     """
-    index = store(docs, path, id, text)
-    return index.join(read(docs.sparkSession, path), "rep").drop("rep")
+    spark = docs.sparkSession
+    lists, reps = store(docs, path, id, text)
+    # Texts with very many rows, fewer than HOT_KEYS of them, are read apart and sent to where their rows are.
+    least = lists.count() // HOT_KEYS
+    hot = reps.where(F.col("n") > least).select("text_key", "rep")
+    cold = lists.join(F.broadcast(hot.select("text_key")), "text_key", "left_anti").join(reps.where(F.col("n") <= least).select("text_key", "rep"), "text_key").join(read(spark, path), "rep")
+    if hot.isEmpty():
+        return cold.drop("rep", "text_key")
+    some = hot.join(read(spark, path, hot.select("rep")), "rep")
+    return lists.join(F.broadcast(some), "text_key").unionByName(cold).drop("rep", "text_key")
