@@ -14,15 +14,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import encoder
+from .common import claim, encoder
 
 #: A segment ends when it has so many ids or documents.
 SEGMENT_IDS = 1 << 20
 SEGMENT_DOCS = 1 << 12
 SUPER = 512
+#: Shards at most: percentile_approx then tells their cuts well apart, and a shard is a stream of any length.
+MOST_SHARDS = 1 << 13
 
 
 class EliasFano:
@@ -59,21 +61,23 @@ class EliasFano:
         low, high = np.frombuffer(raw, np.uint8, a, at), np.frombuffer(raw, np.uint8, b, at + a)
         return cls(n, u, bits, low, high, np.frombuffer(raw, "<u4", c, at + a + b))
 
-    def _low(self, i: int) -> int:
-        if not self.bits:
-            return 0
-        first, last = i * self.bits, (i + 1) * self.bits
-        word = int.from_bytes(self.low[first // 8 : -(-last // 8)].tobytes(), "little")
-        return (word >> (first % 8)) & ((1 << self.bits) - 1)
-
-    def select(self, i: int) -> int:
-        """Number i: one stretch of the unary part and the low bits of i are read."""
-        if not 0 <= i < self.n:
-            raise IndexError(i)
-        s = int(np.searchsorted(self.ranks, i, "right")) - 1
-        ones = np.flatnonzero(np.unpackbits(self.high[s * SUPER // 8 : (s + 1) * SUPER // 8], bitorder="little"))
-        position = s * SUPER + int(ones[i - int(self.ranks[s])])
-        return (position - i) << self.bits | self._low(i)
+    def select(self, wanted: np.ndarray | int) -> np.ndarray | int:
+        """The numbers at the wanted places: of the unary part only the stretches that hold them are read."""
+        i = np.atleast_1d(np.asarray(wanted, np.int64))
+        if len(i) and not (0 <= i.min() and i.max() < self.n):
+            raise IndexError(wanted)
+        stretch = np.searchsorted(self.ranks, i, "right") - 1
+        some, place = np.unique(stretch, return_inverse=True)
+        bytes_of = some[:, None] * (SUPER // 8) + np.arange(SUPER // 8)
+        bits = np.unpackbits(np.where(bytes_of < len(self.high), self.high[np.minimum(bytes_of, len(self.high) - 1)], 0).astype(np.uint8), axis=1, bitorder="little")
+        row, column = np.nonzero(bits)
+        first = np.searchsorted(row, np.arange(len(some)))
+        found = column[first[place] + i - self.ranks[stretch].astype(np.int64)]
+        out = (stretch * SUPER + found - i) << self.bits
+        if self.bits:
+            at = i[:, None] * self.bits + np.arange(self.bits)
+            out |= ((self.low[at >> 3] >> (at & 7).astype(np.uint8)) & 1).astype(np.int64) @ (1 << np.arange(self.bits, dtype=np.int64))
+        return out if np.ndim(wanted) else int(out[0])
 
     def all(self) -> np.ndarray:
         """The whole sequence."""
@@ -107,27 +111,35 @@ def _segments(rows: Iterator[tuple[int | None, bytes]], width: int) -> Iterator[
         yield closed()
 
 
+def _number(key: Column, edges: list[int]) -> Column:
+    """How many of the ascending edges the key reaches (null: none), found in two steps of a square root each."""
+    if not edges:
+        return F.lit(0)
+    step = max(1, int(len(edges) ** 0.5))
+    every = F.expr(f"array({', '.join(f'{x}L' for x in edges)})")
+    heads = F.expr(f"array({', '.join(f'{x}L' for x in edges[::step])})")
+    head = F.greatest(F.size(F.filter(heads, lambda x: x <= key)) - 1, F.lit(0)) * step
+    return F.coalesce(head + F.size(F.filter(F.slice(every, head + 1, F.lit(step)), lambda x: x <= key)), F.lit(0))
+
+
 def write_ids(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0, id: str = "doc_id", text: str = "text") -> None:
     """Writes segments in ascending order of id (nulls first): shard, segment, keys, edges, ids, n_ids, width.
 
     Shards are ranges of the id, cut at its approximate quantiles, which one pass over that column
-    finds. Each document ends with end_id; null and empty texts have that alone. Rows that repeat an
-    id follow one another. An empty table writes no segment.
+    finds; a shard's rows are sorted and encoded as a stream. Each document ends with end_id; null and
+    empty texts have that alone. Rows that repeat an id follow one another. The id must be a whole
+    number or null; other columns are left out. An empty table writes no segment.
     """
     spark = docs.sparkSession
-    shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), docs.rdd.getNumPartitions())
+    shards = min(MOST_SHARDS, max(int(spark.conf.get("spark.sql.shuffle.partitions")), docs.rdd.getNumPartitions()))
     key = F.col(id).cast("long")
-    cuts = docs.select(F.percentile_approx(key, F.array(*[F.lit(i / shards) for i in range(1, shards)]), 10_000).alias("q")).first()["q"] if shards > 1 else None
+    cuts = docs.select(F.percentile_approx(key, F.array(*[F.lit(i / shards) for i in range(1, shards)]), 8 * MOST_SHARDS).alias("q")).first()["q"] if shards > 1 else None
     edges = sorted(set(cuts or []))
-    # The number of cuts at or below the key, by binary search in a constant array.
-    number = F.lit(0)
-    if edges:
-        found = F.expr(f"array({', '.join(f'{x}L' for x in edges)})")
-        number = F.coalesce(F.size(F.filter(found, lambda x: x <= key)), F.lit(0))
-    rows = docs.select(key.alias("doc_id"), F.col(text).alias("text"), F.greatest(number, F.lit(0)).alias("shard"))
+    rows = docs.select(key.alias("doc_id"), F.col(text).alias("text"), _number(key, edges).alias("shard"))
     ranged = rows.repartitionById(len(edges) + 1, F.col("shard")).sortWithinPartitions("doc_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim(__name__)
         enc = encoder(tokenizer)
         last = np.array([end_id], enc.dtype).tobytes()
         width = enc.dtype.itemsize
@@ -168,10 +180,10 @@ def read_ids(spark: SparkSession, path: str) -> DataFrame:
         for batch in batches:
             for row in range(batch.num_rows):
                 shard, segment, keys, raw, ids, width = (batch.column(i)[row].as_py() for i in range(6))
-                starts = EliasFano.from_bytes(raw).all()
+                n = len(keys)
+                starts = EliasFano.from_bytes(raw).select(np.arange(n + 1))
                 values = np.frombuffer(ids, f"<u{width}")
                 sums = [zlib.crc32(values[a:b].astype("<u4").tobytes()) for a, b in zip(starts[:-1], starts[1:])]
-                n = len(keys)
                 yield pa.record_batch(
                     [pa.array([shard] * n, pa.int32()), pa.array([segment] * n, pa.int32()), pa.array(range(n), pa.int32()), pa.array(keys, pa.int64()), pa.array(starts[:-1], pa.int64()), pa.array(np.diff(starts), pa.int64()), pa.array(sums, pa.int64())],
                     ["shard", "segment", "place", "doc_id", "within", "n_tokens", "ids_crc32"],
