@@ -5,6 +5,11 @@ gives each document a posterior over the domains. Nonnegative rates, one a docum
 by projected gradient steps so that the expected tokens of each domain meet its target. A step needs
 a handful of sums over all documents; the rate itself is an expression of the text, so no join or
 shuffle of documents takes place.
+
+The misfit's gradient by a document's rate is its tokens times its posteriors' product with the
+domains' shortfalls. A step scales that by the inverse of the document's tokens, so that long and
+short documents of like posteriors keep like rates, and by the inverse of the domains' Gram matrix.
+Words are runs of letters and digits; tokens are runs between white space (Java's class \\s).
 """
 
 from __future__ import annotations
@@ -23,7 +28,7 @@ BINS = 8
 #: Words a domain may contribute to the classifier.
 WORDS = 24
 LEAST_DOCS = 8
-STEPS = 20
+STEPS = 40
 TOLERANCE = 1e-4
 
 
@@ -32,7 +37,14 @@ SIGNS = "#$%&*+<=>@^~!?|\\/_ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
 def words_of(text: Column) -> Column:
-    return F.split(F.lower(text), " ")
+    """Words in lower case; an empty one may stand at either end."""
+    return F.split(F.lower(text), r"[^\p{L}\p{N}]+")
+
+
+def tokens_of(text: Column) -> Column:
+    """The number of runs of characters that are not white space."""
+    edges = text.rlike(r"^\s").cast("int") + F.substring(text, -1, 1).rlike(r"\s").cast("int")
+    return F.when(text == "", 0).otherwise(F.size(F.split(text, r"\s+")) - edges).cast("long")
 
 
 def shape(text: Column, words: Column, lexicon: dict[str, list[str]]) -> dict[str, Column]:
@@ -62,6 +74,7 @@ class Mixture:
         self.steps: list[list[float]] = []
         self.least_rate = 0.0
         self.totals: dict[str, float] = {}
+        self.converged = True
         self.targets: dict[str, float] = {}
 
     def posteriors(self, df: DataFrame) -> DataFrame:
@@ -88,7 +101,7 @@ class Mixture:
 
         # The few learned words of a text are picked out once, and then told apart by domain.
         df = df.withColumn("_w", words_of(text)).withColumn("_l", F.array_intersect(words, F.array(*[F.lit(w) for w in known]).cast("array<string>")))
-        df = df.withColumns({"_tokens": F.when(text == "", 0).otherwise(F.size(words)).cast("long"), "_f": F.array(*bins.values())}).drop("_w", "_l")
+        df = df.withColumns({"_tokens": tokens_of(text), "_f": F.array(*bins.values())}).drop("_w", "_l")
         return df.withColumn("_s", scores(F.col("_f"))).withColumn("_p", softmax(F.col("_s"))).drop("_f", "_s")
 
     def rate(self) -> Column:
@@ -130,22 +143,27 @@ def fit_classifier(docs: DataFrame, labelled: DataFrame, domain: Column, domains
 
 
 def scored(model: Mixture, docs: DataFrame, whole: bool = True, id: str = "doc_id") -> DataFrame:
-    """A table written once for all steps: doc_id, _tokens, _p, and with whole=True the rows in a struct, doc."""
+    """A table written once for all steps: doc_id, _draw, _tokens, _p, and with whole=True the rows in a struct, doc.
+
+    _draw is a number from 0 to 1 by the id and the text, so rows differ in it unless both are equal.
+    """
     kept = [F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc")] if whole else []
     narrow = docs.select(*kept, F.col(id).alias("doc_id"), F.col(model.text).alias("text"))
-    return written(model.posteriors(narrow).drop("text"), "scored")
+    draw = F.pmod(F.xxhash64(F.col("doc_id"), F.col("text"), F.lit("mix")), F.lit(1 << 20)) / F.lit(float(1 << 20))
+    return written(model.posteriors(narrow.withColumn("_draw", draw)).drop("text"), "scored")
 
 
 def fit_rates(model: Mixture, rows: DataFrame, weights: dict[str, float], least_rate: float = 0.0, grow: bool = False, steps: int = STEPS) -> Mixture:
     """Fits rates of at least `least_rate` (0: nonnegative) over all rows of the table that scored() wrote.
 
     Targets are `weights` of the documents' tokens, or with grow=True of the least total at which no
-    domain has to shrink. A domain without documents keeps its shortfall.
+    domain has to shrink. A domain without documents keeps its shortfall. model.converged says
+    whether every domain came within TOLERANCE of all tokens of its target.
     """
     k = len(model.domains)
     part = [F.get(F.col("_p"), F.lit(i)) for i in range(k)]
     share = [weights.get(d, 0.0) / sum(weights.values()) for d in model.domains]
-    model.least_rate, model.steps, eta, last, aim, total = least_rate, [], 1.0, math.inf, [], 0.0
+    model.least_rate, model.steps, model.converged, eta, last, aim, total = least_rate, [], True, 1.0, math.inf, [], 0.0
     for turn in range(steps + 1):
         # Only rows above the least rate can move either way; the first turn takes all.
         rated = rows.withColumn("_rate", model.rate()).withColumn("_weight", F.col("_tokens") * F.col("_rate"))
@@ -160,7 +178,8 @@ def fit_rates(model: Mixture, rows: DataFrame, weights: dict[str, float], least_
             aim = [total * x for x in share]
         miss = np.array(aim) - have
         model.totals = dict(zip(model.domains, have.tolist()))
-        if turn == steps or np.abs(miss).max() <= TOLERANCE * total:
+        model.converged = bool(np.abs(miss).max() <= TOLERANCE * total)
+        if turn == steps or model.converged:
             break
         # The step is preconditioned by the domains' small Gram matrix; after one that did not help it is halved.
         gram = np.array([[got[f"g{i}_{j}"] or 0.0 for j in range(k)] for i in range(k)])
@@ -173,18 +192,17 @@ def fit_rates(model: Mixture, rows: DataFrame, weights: dict[str, float], least_
 
 
 def rates(model: Mixture, rows: DataFrame) -> DataFrame:
-    """doc_id, tokens, p_<domain> ..., rate for every row of the table that scored() wrote."""
+    """doc_id, tokens, p_<domain> ..., rate, converged for every row of the table that scored() wrote."""
     named = [F.get(F.col("_p"), F.lit(i)).alias(f"p_{d}") for i, d in enumerate(model.domains)]
-    return rows.select("doc_id", F.col("_tokens").alias("tokens"), *named, model.rate().alias("rate"))
+    return rows.select("doc_id", F.col("_tokens").alias("tokens"), *named, model.rate().alias("rate"), F.lit(model.converged).alias("converged"))
 
 
 def realised(model: Mixture, rows: DataFrame) -> DataFrame:
-    """The documents repeated by their rates: the whole part, and one more by the id's hash for the rest.
+    """The documents repeated by their rates: the whole part, and one more by their draw for the rest.
 
     rows is the table that scored() wrote with whole=True.
     """
-    chance = F.pmod(F.xxhash64(F.col("doc_id"), F.lit("mix")), F.lit(1 << 20)) / F.lit(float(1 << 20))
-    copies = F.floor(model.rate() + chance).cast("int")
+    copies = F.floor(model.rate() + F.col("_draw")).cast("int")
     # An outer explode keeps the optimizer from copying the whole expression into a filter below it.
     return rows.withColumn("_copy", F.explode_outer(F.array_repeat(F.lit(1), copies))).where(F.col("_copy").isNotNull()).select("doc.*")
 
