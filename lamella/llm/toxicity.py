@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ROWS_AT_ONCE, Memo, arrow_map, held_out, strings, written
+from .common import Memo, arrow_map, claim, held_out, slices, strings, written
 
 #: Labelled rows of each class that the model is fitted on at most: those whose ids hash lowest.
 SAMPLE_ROWS = 3000
@@ -26,8 +26,10 @@ LEAST_DOCS, LEAST_LIFT = 4, 4.0
 PREFIXES = (3, 4, 5)
 #: Letters that a sign may stand for (fixed values).
 SIGNS = {"0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "il", "|": "il", "+": "t"}
-#: Costs of the channel, in nats: a sign for a letter, a sign as itself, a separator inside a word, a repeated letter.
-SIGN, SELF, GAP, REPEAT = 0.7, 4.0, 0.5, 0.5
+#: Costs of the channel, in nats: a sign for a letter, a sign as itself, a separator inside a word, a repeated letter, a star for any letter.
+SIGN, SELF, GAP, REPEAT, MASK = 0.7, 4.0, 0.5, 0.5, 1.5
+#: Stars in a row that mask letters; a longer row is a ruled line.
+MASKS = re.compile(r"(?<!\*)\*{1,4}(?!\*)")
 #: How often each learned word counts in the character model.
 LEXICON_WEIGHT = 40
 _L, _S = "a-zà-öø-ÿœ", "0-9@$!|+"
@@ -39,7 +41,7 @@ SUSPECT = re.compile(
 )
 #: Found in whatever holds a suspect span: a sign beside a letter, separators between, a letter three times, letters set apart.
 QUICK = re.compile(rf"[{_L}][{_S}]|[{_S}][{_L}]|[{_L}][._*-]+[{_L}{_S}]|([{_L}])\1\1|[{_L}{_S}][{_G}]+[{_L}{_S}][{_G}]+[{_L}{_S}]")
-WORD = re.compile(r"[^\W\d_]{3,24}")
+WORD = re.compile(r"[^\W\d_]{2,}")
 EDGE = "^"
 #: In trigrams, one character for every letter that no span can hold, so that their number has a bound that no corpus passes.
 OTHER, FOREIGN = "?", re.compile(rf"[^{_L}]")
@@ -76,6 +78,11 @@ class Channel:
         for gram, n in counts.items():
             pairs[gram[:2]] += n
         self.counts, self.pairs = dict(counts), dict(pairs)
+        #: The letters that the model has seen after two characters: what a star between letters can stand for.
+        self.follow: dict[str, str] = {}
+        for gram in sorted(counts):
+            if gram[2] not in EDGE + OTHER:
+                self.follow[gram[:2]] = self.follow.get(gram[:2], "") + gram[2]
         self.letters = len({g[2] for g in counts}) + 1
         self.costs = Memo(lambda gram: self.cost(gram[:2], gram[2]))
         self.memo = Memo(self._decode)
@@ -87,7 +94,8 @@ class Channel:
     def _decode(self, span: str) -> str:
         # A path is its cost and a chain of (chain before, text), which paths share.
         cost_of, paths, before = self.costs.__getitem__, {EDGE * 2: (0.0, None)}, ""
-        for char in span:
+        masks = {i for m in MASKS.finditer(span) for i in range(*m.span())}
+        for at, char in enumerate(span):
             further: dict[str, tuple[float, tuple | None]] = {}
 
             def reach(state: str, cost: float, chain: tuple | None, text: str = "") -> None:
@@ -108,6 +116,9 @@ class Channel:
                     if char == before and state[1] == char:
                         reach(state, cost + REPEAT, chain)
                 else:
+                    if at in masks:
+                        for letter in self.follow.get(state, ""):
+                            reach(state[1] + letter, cost + MASK + cost_of(state + letter), chain, letter)
                     reach(state, cost + GAP, chain)
                     closed = 0.0 if state == EDGE * 2 else cost_of(state + EDGE)
                     reach(EDGE * 2, cost + GAP + closed, chain, char)
@@ -125,7 +136,6 @@ class Channel:
         text = text.lower()
         if not QUICK.search(text):
             return text
-        self.memo.trim()
         return SUSPECT.sub(self._restored, text)
 
 
@@ -145,7 +155,6 @@ class Model:
         return self
 
     def found(self, text: str) -> set[str]:
-        self.hits.trim()
         words = set(WORD.findall(self.channel.restore(text)))
         return {f for fs in filter(None, map(self.hits.__getitem__, words)) for f in fs}
 
@@ -172,11 +181,12 @@ def corpus_trigrams(docs: DataFrame, text: str = "text") -> dict[str, int]:
     """Counts of the trigrams of the words of all documents; each task sums its own first."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim(__name__)
         found: Counter = Counter()
         grams: Counter = Counter()
         for batch in batches:
-            for at in range(0, batch.num_rows, ROWS_AT_ONCE):
-                for x in strings(batch.slice(at, ROWS_AT_ONCE), "text"):
+            for part in slices(batch):
+                for x in strings(part, "text"):
                     found.update(WORD.findall(x.lower()))
                     if len(found) > WORDS_AT_ONCE:
                         grams.update(trigrams(found))
@@ -207,8 +217,7 @@ def fit(docs: DataFrame, labelled: DataFrame, label: str = "toxic", id: str = "d
     def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[int, Counter] = {0: Counter(), 1: Counter()}
         for batch in batches:
-            for at in range(0, batch.num_rows, ROWS_AT_ONCE):
-                part = batch.slice(at, ROWS_AT_ONCE)
+            for part in slices(batch):
                 for y, x in zip(part.column(0).to_pylist(), strings(part, "text")):
                     seen[y].update({f for w in set(WORD.findall(x.lower())) for f in features_of(w)})
         for kind, some in seen.items():
