@@ -1,7 +1,9 @@
 """Quality by random-indexing word vectors and a small network.
 
-Each token bucket has a sparse random index vector. A bucket's vector is its own index vector plus
-the normalised sum of its neighbours' index vectors over the whole corpus. Vectors pooled per
+Words are hashed into BUCKETS, so that the table of vectors keeps its size however large the
+vocabulary is; with v words in use a word shares its bucket with about v / BUCKETS others, mostly rare
+ones. Each bucket has a sparse random index vector. A bucket's vector is its own index vector plus
+the normalised sum of its neighbours' index vectors (one on each side) over the whole corpus. Vectors pooled per
 document go through a network of two layers, whose logits are divided by a calibrated temperature.
 """
 
@@ -17,11 +19,11 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ROWS_AT_ONCE, Memo, arrow_map, held_out, strings, written
+from .common import Memo, arrow_map, claim, held_out, slices, strings, written
 
 #: Labelled rows that the network is fitted on at most: those whose ids hash lowest.
 SAMPLE_ROWS = 8000
-BUCKETS, DIMS, NONZERO = 4096, 32, 4
+BUCKETS, DIMS, NONZERO = 1 << 14, 32, 4
 HIDDEN = 32
 CAPITALS = 0
 PIECE = re.compile(r"\w+|[^\w\s]+")
@@ -50,7 +52,6 @@ _memo = Memo(_buckets)
 
 def bucket_rows(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Bucket numbers of all texts one after another, and how many each text has."""
-    _memo.trim()
     parts = [b"".join(map(_memo.__getitem__, x.split())) for x in texts]
     return np.frombuffer(b"".join(parts), np.uint16).astype(np.int64), np.array([len(p) // 2 for p in parts], np.int64)
 
@@ -59,16 +60,17 @@ def word_vectors(docs: DataFrame, text: str = "text") -> np.ndarray:
     """(BUCKETS, DIMS): index vectors plus normalised sums of neighbours' over all documents."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim(__name__)
         sums = np.zeros(BUCKETS * DIMS)
         for batch in batches:
-            for at in range(0, batch.num_rows, ROWS_AT_ONCE):
-                b, sizes = bucket_rows(strings(batch.slice(at, ROWS_AT_ONCE), text))
+            for part in slices(batch):
+                b, sizes = bucket_rows(strings(part, text))
                 owner = np.repeat(np.arange(len(sizes)), sizes)
                 near = owner[1:] == owner[:-1]
                 left, right = b[:-1][near], b[1:][near]
                 for word, other in ((left, right), (right, left)):
                     for j in range(NONZERO):
-                        sums += np.bincount(word * DIMS + PLACES[other, j], PLUS[other, j], BUCKETS * DIMS)
+                        np.add.at(sums, word * DIMS + PLACES[other, j], PLUS[other, j])
         rows = sums.reshape(BUCKETS, DIMS)
         some = np.flatnonzero(np.abs(rows).sum(1))
         yield pa.record_batch([pa.array(some, pa.int64()), *[pa.array(rows[some, d]) for d in range(DIMS)]], ["bucket", *[f"v{d}" for d in range(DIMS)]])
