@@ -6,15 +6,18 @@
    their weighted Jaccard similarity. Samples are cut into bands; equal bands share a bucket.
 3. Each bucket's members are verified against the bucket's leader by exact weighted Jaccard
    similarity; verified links give classes (connected components).
-4. Buckets that still hold several classes are searched in blocks: a task verifies pairs of different
-   classes whose samples agree often enough, most agreeing first, and gives only links that join two
-   classes. No pairs are made within a class, and what leaves a block is at most a row for each of
-   its members. A pair that shares a bucket but agrees on fewer than 30 of 48 samples is verified
-   only if one of the two is the bucket's leader.
-
-Equal texts are one text throughout. Similarity is exact; the search is not: were samples
-independent, it would miss a pair of similarity 0.8 with a probability of 0.3 % (0.18 % share no
-band, the others agree too seldom), one of 0.85 with 0.017 % and one of 0.9 with three in a million.
+4. Where a bucket's other members still are of several classes, every pair of different classes is
+   verified, most similar first, by an inverted index of the shingles within blocks of members. The
+   largest class of a bucket is never compared with itself: its members are dealt once to each block
+   of the others, so one outlier in a bucket of a million near copies costs a million comparisons.
+5. Buckets whose others are many (more than OTHERS) are first divided by shingles: a pair of that
+   similarity has a shingle in common among the rarest of each, so only members that share such a
+   shingle meet (prefix filtering, which is exact).
+
+Equal texts are one text throughout. Every two texts that share a bucket and reach the threshold are
+linked, directly or through others. Which texts share a bucket is left to chance: were samples
+independent, a pair of similarity 0.8 would share none with a probability of 0.18 %, one of 0.85 with
+0.008 % and one of 0.9 with one in two million.
 """
 
 from __future__ import annotations
@@ -26,23 +29,26 @@ from itertools import groupby
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import ROWS_AT_ONCE, Memo, arrow_map, release, strings, without_dropped, written
+from .common import Memo, arrow_map, claim, join_facts, release, slices, strings, without_dropped, written
 
 WORDS = 5
 THRESHOLD = 0.8
 BANDS, ROWS = 12, 4
 HASHES = BANDS * ROWS
-#: Samples that must agree before a pair of different classes in a bucket is verified.
-AGREEING = 30
-#: Cells of the document-frequency sketch.
+#: Cells of the document-frequency sketch: other shingles add about 1 / 160 of the documents to a cell.
 CELLS = 1 << 16
-#: Weights fall for shingles in more than 1 / RARE of the documents, but not below LEAST_WEIGHT.
-RARE, LEAST_WEIGHT = 16.0, 0.7
-#: Members of a bucket that one task compares at once.
-BLOCK = 512
+#: Weights fall with the logarithm of the document frequency from 1 (in one of RARE documents or
+#: fewer, what the sketch can tell apart) to LEAST_WEIGHT (in all documents).
+RARE, LEAST_WEIGHT = 128.0, 0.6
+#: Members of a bucket that meet at once on either side, and the bytes of their texts, roughly.
+BLOCK, BLOCK_BYTES = 512, 4 << 20
+#: Members besides the largest class from which a bucket is divided by shingles.
+OTHERS = 4 * BLOCK
+#: Texts whose signatures a task remembers having given.
+GIVEN = 1 << 17
 DRAWS = 1 << 16
 MASK48 = np.uint64((1 << 48) - 1)
 
@@ -56,7 +62,6 @@ def shingles(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     Words are runs of letters, digits and underscores in lower case. A text of one to four words has
     one shingle of all of them; one without words has none.
     """
-    _words.trim()
     lists = [_find(x.lower()) for x in texts]
     for words in lists:
         if 0 < len(words) < WORDS:
@@ -82,10 +87,11 @@ def document_frequencies(docs: DataFrame, text: str = "text") -> np.ndarray:
     """Documents by cell of the sketch, over all documents; as many numbers at any size of input."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim(__name__)
         cells = np.zeros(CELLS, np.int64)
         for batch in batches:
-            for at in range(0, batch.num_rows, ROWS_AT_ONCE):
-                _, h, _ = shingles(strings(batch.slice(at, ROWS_AT_ONCE), text))
+            for part in slices(batch):
+                _, h, _ = shingles(strings(part, text))
                 cells += np.bincount((h >> np.uint64(32)).astype(np.int64), minlength=CELLS)
         some = np.flatnonzero(cells)
         yield pa.record_batch([pa.array(some, pa.int64()), pa.array(cells[some], pa.int64())], ["cell", "n"])
@@ -98,9 +104,13 @@ def document_frequencies(docs: DataFrame, text: str = "text") -> np.ndarray:
 
 
 def inverse_frequencies(cells: np.ndarray, documents: int) -> np.ndarray:
-    """Weights by cell from LEAST_WEIGHT to 1: bounded, so that a text's own words do not outweigh those of a large group."""
+    """Weights by cell from LEAST_WEIGHT to 1.
+
+    The floor keeps a text's own words from outweighing those of a group that holds much of the
+    corpus: its near copies stay alike although their common shingles are frequent.
+    """
     idf = np.log(max(documents, 1) / np.maximum(cells, 1)) / np.log(RARE)
-    return np.clip(idf, LEAST_WEIGHT, 1.0).astype(np.float32)
+    return (LEAST_WEIGHT + (1 - LEAST_WEIGHT) * np.clip(idf, 0.0, 1.0)).astype(np.float32)
 
 
 class Sampler:
@@ -131,13 +141,19 @@ class Sampler:
 
 
 def signatures(docs: DataFrame, idf: np.ndarray, text: str = "text") -> DataFrame:
-    """(key, samples, bands) for texts with words; docs has key and the text."""
+    """(key, bands) for texts with words; docs has key and the text. A task leaves out repeated keys that it remembers."""
 
     def make():
         sampler = Sampler()
+        given: set[bytes] = set()
 
         def each(batch):
-            owner, h, counts = shingles(strings(batch, text))
+            keys = batch.column(batch.schema.get_field_index("key")).to_pylist()
+            fresh = [i for i, k in enumerate(keys) if not (k in given or given.add(k))]
+            if len(given) > GIVEN:
+                given.clear()
+            texts = strings(batch, text)
+            owner, h, counts = shingles([texts[i] for i in fresh])
             if not len(owner):
                 return None
             rows, starts = np.unique(owner, return_index=True)
@@ -147,12 +163,11 @@ def signatures(docs: DataFrame, idf: np.ndarray, text: str = "text") -> DataFram
             for b in range(BANDS):
                 part = np.ascontiguousarray(out[:, b * ROWS : (b + 1) * ROWS])
                 bands[:, b] = [np.int64(xxhash.xxh64_intdigest(x.tobytes(), b) - (1 << 63)) for x in part]
-            keys = batch.column(batch.schema.get_field_index("key")).take(pa.array(rows))
-            return pa.record_batch([keys, pa.array([x.tobytes() for x in out], pa.binary()), pa.array(list(bands), pa.list_(pa.int64()))], ["key", "samples", "bands"])
+            return pa.record_batch([pa.array([keys[fresh[i]] for i in rows], pa.binary()), pa.array(list(bands), pa.list_(pa.int64()))], ["key", "bands"])
 
         return each
 
-    return arrow_map(docs.select("key", text), make, "key binary, samples binary, bands array<long>")
+    return arrow_map(docs.select("key", text), make, "key binary, bands array<long>")
 
 
 def verified(pairs: DataFrame, texts: DataFrame, idf: np.ndarray, threshold: float) -> DataFrame:
@@ -203,11 +218,38 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
             return labels
 
 
-def _links_within(members: list[dict], band: int, across: bool, idf: np.ndarray, threshold: float) -> Iterator[tuple[bytes, bytes]]:
-    """Verified links that join classes among a block's members (across: between its two halves only).
+def _shared_weights(owner: np.ndarray, h: np.ndarray, counts: np.ndarray, weight: np.ndarray, n: int) -> np.ndarray:
+    """(n, n) weights that every two texts share: sums of the smaller weight of each common shingle.
 
-    A pair is looked at in the first band that it shares, so once in all.
+    A shingle that a text has c times is c columns of the same weight, which makes the smaller count
+    a count of common columns. Columns of many texts are multiplied as matrices, others pair by pair.
     """
+    out = np.zeros((n, n))
+    level = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
+    owner, h, weight = (np.repeat(x, counts) for x in (owner, h, weight))
+    order = np.lexsort((owner, level, h))
+    owner, h, level, weight = owner[order], h[order], level[order], weight[order]
+    first = np.flatnonzero(np.append(True, (h[1:] != h[:-1]) | (level[1:] != level[:-1])))
+    size = np.diff(np.append(first, len(h)))
+    for k in np.unique(size[size > 1]):
+        starts = first[size == k]
+        if k <= 24:
+            texts, w = owner[starts[:, None] + np.arange(k)], weight[starts]
+            i, j = np.triu_indices(k, 1)
+            for at in range(0, len(starts), 8192):
+                cells = (texts[at : at + 8192][:, i] * n + texts[at : at + 8192][:, j]).ravel()
+                out += np.bincount(cells, np.repeat(w[at : at + 8192], len(i)), n * n).reshape(n, n)
+        else:
+            for at in range(0, len(starts), 2048):
+                some = starts[at : at + 2048]
+                has = np.zeros((n, len(some)))
+                has[owner[some[:, None] + np.arange(k)], np.arange(len(some))[:, None]] = 1
+                out += np.triu((has * weight[some]) @ has.T, 1)
+    return out + out.T
+
+
+def _links_within(members: list[dict], idf: np.ndarray, threshold: float) -> Iterator[tuple[bytes, bytes]]:
+    """Verified links that join classes among a meeting's members; those dealt as `largest` are not compared with one another."""
     members.sort(key=lambda x: x["key"])
     labels = [x["label"] for x in members]
     number = {x: i for i, x in enumerate(dict.fromkeys(labels))}
@@ -220,64 +262,121 @@ def _links_within(members: list[dict], band: int, across: bool, idf: np.ndarray,
         return i
 
     label = np.array([number[x] for x in labels])
-    block = np.array([x["block"] for x in members])
-    samples = np.frombuffer(b"".join(x["samples"] for x in members), np.uint32).reshape(len(members), BANDS, ROWS)
-    found = []
-    for i in range(len(members) - 1):
-        same = samples[i + 1 :] == samples[i]
-        agreeing = same.sum((1, 2))
-        hits = (agreeing >= AGREEING) & (label[i + 1 :] != label[i]) & (same.all(2).argmax(1) == band)
-        if across:
-            hits &= block[i + 1 :] != block[i]
-        found += [(-int(agreeing[j]), i, i + 1 + int(j)) for j in np.flatnonzero(hits)]
-    if not found:
-        return
-    needed = sorted({k for _, i, j in found for k in (i, j)})
-    place = {k: n for n, k in enumerate(needed)}
-    owner, h, counts = shingles([members[k]["text"] for k in needed])
-    weight = counts * idf[(h >> np.uint64(32)).astype(np.int64)].astype(np.float64)
-    edges = np.searchsorted(owner, np.arange(len(needed) + 1))
-    total = [weight[a:b].sum() for a, b in zip(edges[:-1], edges[1:])]
-    for _, i, j in sorted(found):
-        if root(label[i]) == root(label[j]):
-            continue
-        a, b = place[i], place[j]
-        if min(total[a], total[b]) < (threshold - 1e-9) * max(total[a], total[b]):
-            continue
-        ha, hb = h[edges[a] : edges[a + 1]], h[edges[b] : edges[b + 1]]
-        at = np.minimum(hb.searchsorted(ha), len(hb) - 1)
-        both = hb[at] == ha
-        shared = np.minimum(weight[edges[a] : edges[a + 1]][both], weight[edges[b] : edges[b + 1]][at[both]]).sum()
-        if shared >= (threshold - 1e-9) * (total[a] + total[b] - shared):
-            parent[root(label[j])] = root(label[i])
-            yield members[i]["key"], members[j]["key"]
-
-
-def _search(buckets: DataFrame, samples: DataFrame, texts: DataFrame, labels: DataFrame, idf: np.ndarray, threshold: float) -> DataFrame:
-    """Links (a, b) between different classes that share a bucket. A bucket is cut into blocks, and
-    every two blocks meet in a task that reads their rows as a stream, one meeting at a time."""
-    named = buckets.join(labels, "key", "left").select("bucket", "band", "key", F.coalesce("label", "key").alias("label"))
-    mixed = named.groupBy("bucket").agg(F.min("label").alias("l0"), F.max("label").alias("l1"), F.count(F.lit(1)).alias("n")).where("l0 != l1")
-    mixed = mixed.select("bucket", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
-    members = named.join(mixed, "bucket").join(samples, "key").join(texts, "key").withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
-    dealt = members.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("bucket", "band", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "key", "label", "samples", "text")
-    met = dealt.repartition("bucket", "lo", "hi").sortWithinPartitions("bucket", "lo", "hi")
+    side = np.array([x["side"] for x in members])
+    owner, h, counts = shingles([x["text"] for x in members])
+    weight = idf[(h >> np.uint64(32)).astype(np.int64)].astype(np.float64)
+    total = np.bincount(owner, weight * counts, len(members))
+    shared = _shared_weights(owner, h, counts, weight, len(members))
+    whole = total[:, None] + total[None, :] - shared
+    met = (label[:, None] != label[None, :]) & ((side[:, None] != side[None, :]) | (side == 0)[:, None])
+    i, j = np.nonzero(np.triu(met & (shared >= (threshold - 1e-9) * np.maximum(whole, 1e-12)), 1))
+    for at in np.argsort(-(shared[i, j] / whole[i, j]), kind="stable"):
+        a, b = root(label[i[at]]), root(label[j[at]])
+        if a != b:
+            parent[b] = a
+            yield members[i[at]]["key"], members[j[at]]["key"]
+
+
+def _dealt(named: DataFrame) -> DataFrame:
+    """(place, a, b, side, key, label) of the members (place, key, label, bytes) of places with several classes.
+
+    A place's largest class and its others are cut into blocks. Every block of the others meets every
+    block of the largest class (sides 1 and 2), itself (side 0 and 0), and every later one of the others (1 and 2).
+    """
+    classes = named.groupBy("place", "label").agg(F.count(F.lit(1)).alias("n"), F.sum("bytes").alias("bytes"))
+    sizes = classes.groupBy("place").agg(F.max(F.struct("n", "label", "bytes")).alias("top"), F.sum("n").alias("n"), F.sum("bytes").alias("bytes")).where("n > top.n")
+
+    def blocks(n: Column, size: Column) -> Column:
+        return F.least(n, F.greatest(F.ceil(n / BLOCK), F.ceil(size / BLOCK_BYTES))).cast("int")
+
+    tops, others = blocks(F.col("top.n"), F.col("top.bytes")), blocks(F.col("n") - F.col("top.n"), F.col("bytes") - F.col("top.bytes"))
+    sizes = sizes.select("place", F.col("top.label").alias("top"), tops.alias("tops"), others.alias("others"))
+    members = named.join(sizes, "place")
+    largest = F.col("label") == F.col("top")
+    block = F.pmod(F.xxhash64("key"), F.when(largest, F.col("tops")).otherwise(F.col("others"))).cast("int")
+    members = members.withColumn("block", block)
+
+    def meeting(a: Column, b: Column, side: int) -> Column:
+        return F.struct(a.alias("a"), b.alias("b"), F.lit(side).alias("side"))
+
+    def every(end: Column, make) -> Column:
+        none = F.array().cast("array<int>")
+        return F.transform(F.when(end > 0, F.sequence(F.lit(0), end - 1)).otherwise(none), make)
+
+    me, minus = F.col("block"), lambda x: -1 - x
+    as_top = every(F.col("others"), lambda x: meeting(x, minus(me), 2))
+    with_top = every(F.col("tops"), lambda x: meeting(me, minus(x), 1))
+    before = every(me, lambda x: meeting(x, me, 2))
+    after = F.filter(every(F.col("others"), lambda x: meeting(me, x, 1)), lambda x: x["b"] > me)
+    alone = F.array(meeting(me, me, 0))
+    met = F.when(largest, as_top).otherwise(F.concat(with_top, before, after, alone))
+    return members.withColumn("m", F.explode(met)).select("place", F.col("m.a").alias("a"), F.col("m.b").alias("b"), F.col("m.side").alias("side"), "key", "label")
+
+
+def _met(dealt: DataFrame, texts: DataFrame, idf: np.ndarray, threshold: float) -> DataFrame:
+    """Links (a, b) of all meetings; a task reads its meetings as a stream, one at a time."""
+    rows = dealt.join(texts.select("key", "text"), "key").repartition("place", "a", "b").sortWithinPartitions("place", "a", "b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def rows():
+        claim(__name__)
+
+        def each():
             for batch in batches:
-                for at in range(0, batch.num_rows, 256):
-                    yield from batch.slice(at, 256).to_pylist()
+                for part in slices(batch):
+                    yield from part.to_pylist()
 
-        for (_, lo, hi), some in groupby(rows(), key=lambda x: (x["bucket"], x["lo"], x["hi"])):
-            together = list(some)
-            links = list(_links_within(together, together[0]["band"], lo != hi, idf, threshold))
+        for _, some in groupby(each(), key=lambda x: (x["place"], x["a"], x["b"])):
+            links = list(_links_within(list(some), idf, threshold))
             if links:
                 a, b = zip(*links)
                 yield pa.record_batch([pa.array(a, pa.binary()), pa.array(b, pa.binary())], ["a", "b"])
 
-    return met.mapInArrow(run, "a binary, b binary")
+    return rows.mapInArrow(run, "a binary, b binary")
+
+
+def _divided(named: DataFrame, texts: DataFrame, idf: np.ndarray, threshold: float) -> DataFrame:
+    """(place, key, label, bytes): the members of buckets once for each of their rarest shingles.
+
+    Shingles are in order of the number of members that have them in the bucket. A member keeps the
+    first ones, until those that are left weigh less than the threshold's share of its weight: two
+    members that reach the threshold have one of these in common.
+    """
+
+    def make():
+        def each(batch):
+            rows = batch.select(["place", "key", "label", "bytes"])
+            owner, h, counts = shingles(strings(batch, "text"))
+            if not len(owner):
+                return None
+            weight = counts * idf[(h >> np.uint64(32)).astype(np.int64)].astype(np.float64)
+            some = rows.take(pa.array(owner))
+            return pa.record_batch([*some.columns, pa.array(h.astype(np.int64)), pa.array(weight)], ["place", "key", "label", "bytes", "shingle", "weight"])
+
+        return each
+
+    rows = named.join(texts.select("key", "text"), "key").select("place", "key", "label", "bytes", "text")
+    cells = written(arrow_map(rows, make, "place long, key binary, label binary, bytes long, shingle long, weight double"), "cells")
+    found = written(cells.groupBy("place", "shingle").agg(F.count(F.lit(1)).alias("n")), "found")
+    ranked = join_facts(cells, found, ["place", "shingle"], "n", cells.count())
+    rarest = Window.partitionBy("place", "key").orderBy("n", "shingle")
+    left = F.sum("weight").over(Window.partitionBy("place", "key")) * F.lit(1 - threshold + 1e-6)
+    before = F.coalesce(F.sum("weight").over(rarest.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
+    first = ranked.withColumn("_before", before).withColumn("_left", left).where("_before <= _left AND n > 1")
+    return first.select(F.xxhash64("place", "shingle").alias("place"), "key", "label", "bytes").distinct()
+
+
+def _search(buckets: DataFrame, texts: DataFrame, labels: DataFrame, idf: np.ndarray, threshold: float) -> DataFrame:
+    """Links (a, b) that join all classes which similar members of a bucket (bucket, key) are in."""
+    sized = buckets.join(labels, "key", "left").join(texts.select("key", F.octet_length("text").cast("long").alias("bytes")), "key")
+    named = written(sized.select(F.col("bucket").alias("place"), "key", F.coalesce("label", "key").alias("label"), "bytes"), "named")
+    classes = named.groupBy("place", "label").agg(F.count(F.lit(1)).alias("n"))
+    mixed = classes.groupBy("place").agg(F.max("n").alias("top"), F.sum("n").alias("n")).where("n > top")
+    mixed = written(mixed.select("place", (F.col("n") - F.col("top") > OTHERS).alias("many")), "mixed")
+    found = _met(_dealt(named.join(mixed.where("not many"), "place").drop("many")), texts, idf, threshold)
+    many = mixed.where("many").select("place")
+    if many.isEmpty():
+        return found
+    return found.union(_met(_dealt(written(_divided(named.join(many, "place"), texts, idf, threshold), "divided")), texts, idf, threshold))
 
 
 def near_classes(docs: DataFrame, threshold: float = THRESHOLD, id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -285,7 +384,7 @@ def near_classes(docs: DataFrame, threshold: float = THRESHOLD, id: str = "doc_i
 
     group_id is the least doc_id of the class, group_size its rows, kept marks its one row that
     stays (that doc_id's); key identifies the text. Equal texts are always one class, and so are
-    empty and null texts. A text without words is like its equals only.
+    empty and null texts. A text without words is like its equals only. Other columns are left out.
     """
     spark = docs.sparkSession
     key = F.unhex(F.md5(F.coalesce(F.col(text), F.lit("")).cast("binary")))
@@ -295,10 +394,10 @@ def near_classes(docs: DataFrame, threshold: float = THRESHOLD, id: str = "doc_i
     signed = written(signatures(source, idf).dropDuplicates(["key"]), "signatures")
     release(spark)
 
-    buckets = signed.select("key", F.posexplode("bands").alias("band", "bucket"))
-    leaders = buckets.groupBy("bucket").agg(F.min("key").alias("leader"), F.count(F.lit(1)).alias("n")).where("n > 1").select("bucket", "leader")
-    shared = written(buckets.join(leaders, "bucket"), "buckets")
-    pairs = written(shared.where("key != leader").select(F.col("leader").alias("a"), F.col("key").alias("b")).distinct(), "pairs")
+    buckets = signed.select("key", F.explode("bands").alias("bucket"))
+    leaders = buckets.groupBy("bucket").agg(F.min("key").alias("leader"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    shared = written(buckets.join(leaders, "bucket").where("key != leader"), "buckets")
+    pairs = written(shared.select(F.col("leader").alias("a"), F.col("key").alias("b")).distinct(), "pairs")
 
     wanted = pairs.select(F.col("a").alias("key")).union(pairs.select(F.col("b").alias("key"))).distinct()
     chosen = rows.groupBy("key").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id"))).alias("one")).join(wanted, "key").select("key", F.col("one.doc_id").alias("_one"))
@@ -309,15 +408,17 @@ def near_classes(docs: DataFrame, threshold: float = THRESHOLD, id: str = "doc_i
 
     links = written(verified(pairs, texts, idf, threshold), "links")
     labels = components(links)
-    found = written(_search(shared.select("bucket", "band", "key"), signed.select("key", "samples"), texts, labels, idf, threshold), "links")
+    # Leaders have met all members of their buckets, so only the others are searched, and three make two of those.
+    found = written(_search(shared.where("n > 2").select("bucket", "key"), texts, labels, idf, threshold), "links")
     if not found.isEmpty():
         labels = components(links.select("a", "b").union(found))
     release(spark)
 
     classed = rows.join(labels, "key", "left").select("doc_id", "key", "row", F.coalesce("label", "key").alias("label"))
     first = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id"), F.col("row"))
-    groups = classed.groupBy("label").agg(F.min(first).alias("first"), F.count(F.lit(1)).alias("group_size"))
-    return classed.join(groups, "label").select("doc_id", F.col("first.doc_id").alias("group_id"), "group_size", (F.col("row") == F.col("first.row")).alias("kept"), "key")
+    classed = written(classed, "classed")
+    groups = written(classed.groupBy("label").agg(F.min(first).alias("first"), F.count(F.lit(1)).alias("group_size")), "groups")
+    return join_facts(classed, groups, ["label"], "group_size", classed.count()).select("doc_id", F.col("first.doc_id").alias("group_id"), "group_size", (F.col("row") == F.col("first.row")).alias("kept"), "key")
 
 
 def drop_near_copies(docs: DataFrame, threshold: float = THRESHOLD, id: str = "doc_id", text: str = "text") -> DataFrame:
