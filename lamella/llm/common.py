@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import gc
 import json
 import re
@@ -21,7 +22,7 @@ from py4j.protocol import Py4JError
 from pyspark.sql import functions as F
 
 #: Bytes that a memo may take, both generations together; an operator has one to three in a worker.
-MEMO_BYTES = 1 << 29
+MEMO_BYTES = 24 << 20
 #: Bytes of a memo's entry besides its key and value, roughly.
 ENTRY_BYTES = 110
 #: Rows handled at once within an Arrow batch, and their bytes on average, so that long texts do not pile up.
@@ -132,9 +133,17 @@ _owner: list[str | None] = [None]
 
 
 def claim(owner: str) -> None:
-    """Notes which operator a worker, which Spark uses again, now serves."""
+    """Frees what another operator left in this worker, which Spark uses again: memos, encoders, free pages."""
     if _owner[0] != owner:
         _owner[0] = owner
+        for memo in list(_memos):
+            memo.forget()
+        _encoders.clear()
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+        if trim:
+            trim(0)
 
 
 def arrow_map(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch | None]], schema: str) -> DataFrame:

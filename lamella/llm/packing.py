@@ -197,4 +197,4 @@ def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = 4096, end_id
 
     Columns of docs other than doc_id and text are left out. An empty table gives no rows.
     """
-    return pack(written(cut_pieces(docs, tokenizer, capacity, end_id, ids=True).drop("ids"), "pieces"), capacity)
+    return pack(written(cut_pieces(docs, tokenizer, capacity, end_id), "pieces"), capacity)
