@@ -22,8 +22,8 @@ independent, a pair of similarity 0.8 would share none with a probability of 0.1
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
+from functools import cache
 from itertools import groupby
 
 import numpy as np
@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Memo, arrow_map, claim, join_facts, release, slices, strings, without_dropped, written
+from .common import arrow_map, claim, join_facts, release, slices, strings, without_dropped, written
 
 WORDS = 5
 THRESHOLD = 0.8
@@ -52,8 +52,40 @@ GIVEN = 1 << 17
 DRAWS = 1 << 16
 MASK48 = np.uint64((1 << 48) - 1)
 
-_words = Memo(lambda w: xxhash.xxh64_intdigest(w.encode("utf-8", "surrogatepass")))
-_find = re.compile(r"\w+").findall
+#: Characters whose words are hashed at once.
+CHARACTERS = 1 << 20
+ODD = np.uint64(0x9E3779B97F4A7C15)
+
+
+@cache
+def _in_words() -> np.ndarray:
+    """Whether a character is a letter, digit or underscore, by its number."""
+    return np.fromiter((chr(i).isalnum() or i == 95 for i in range(0x110000)), bool, 0x110000)
+
+
+def _word_hashes(text: str) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(where words begin, their 64-bit hashes), stretch by stretch; a stretch ends between words.
+
+    A word's hash is the sum of its mixed characters, each times a power of an odd number by its place.
+    """
+    chars = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
+    table, at = _in_words(), 0
+    while at < len(chars):
+        end = min(at + CHARACTERS, len(chars))
+        while end < len(chars) and table[chars[end - 1]] and table[chars[end]]:
+            end += 1
+        inside = table[chars[at:end]]
+        edges = np.flatnonzero(np.diff(np.concatenate(([0], inside.view(np.int8), [0]))))
+        starts, sizes = edges[::2], edges[1::2] - edges[::2]
+        if len(starts):
+            first = np.cumsum(sizes) - sizes
+            with np.errstate(over="ignore"):
+                value = chars[at:end][inside].astype(np.uint64) * ODD
+                value ^= value >> np.uint64(31)
+                power = np.cumprod(np.full(int(sizes.max()), np.uint64(0xD6E8FEB86659FD93)), dtype=np.uint64)
+                value *= power[np.arange(len(value)) - np.repeat(first, sizes)]
+                yield starts + at, np.add.reduceat(value, first)
+        at = end
 
 
 def shingles(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -62,21 +94,24 @@ def shingles(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     Words are runs of letters, digits and underscores in lower case. A text of one to four words has
     one shingle of all of them; one without words has none.
     """
-    lists = [_find(x.lower()) for x in texts]
-    for words in lists:
-        if 0 < len(words) < WORDS:
-            words += [""] * (WORDS - len(words))
-    sizes = np.fromiter(map(len, lists), np.int64, len(lists))
-    total = int(sizes.sum())
-    if not total:
+    lower = [x.lower() for x in texts]
+    found = list(_word_hashes("\n".join(lower)))
+    if not found:
         return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    h = np.fromiter((v for words in lists for v in map(_words.__getitem__, words)), np.uint64, total)
+    begins, words = (np.concatenate(x) for x in zip(*found))
+    ends = np.cumsum(np.fromiter((len(x) + 1 for x in lower), np.int64, len(lower)))
+    sizes = np.bincount(np.searchsorted(ends, begins, "right"), minlength=len(lower))
+    filled = np.where((sizes > 0) & (sizes < WORDS), WORDS, sizes)
+    total = int(filled.sum())
+    h = np.zeros(total, np.uint64)
+    h[np.arange(len(words)) + np.repeat(np.cumsum(filled - sizes) - (filled - sizes), sizes)] = words
+    sizes = filled
     with np.errstate(over="ignore"):
         s = np.zeros(total - WORDS + 1, np.uint64)
         for i in range(WORDS):
-            s = (s ^ h[i : total - WORDS + 1 + i]) * np.uint64(0x9E3779B97F4A7C15)
+            s = (s ^ h[i : total - WORDS + 1 + i]) * ODD
             s ^= s >> np.uint64(29)
-    owner = np.repeat(np.arange(len(lists)), sizes)
+    owner = np.repeat(np.arange(len(lower)), sizes)
     inside = owner[: len(s)] == owner[WORDS - 1 :]
     keys = (owner[: len(s)][inside].astype(np.uint64) << np.uint64(48)) | (s[inside] >> np.uint64(16))
     keys, counts = np.unique(keys, return_counts=True)
