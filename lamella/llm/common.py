@@ -6,6 +6,7 @@ import atexit
 import ctypes
 import gc
 import json
+import os
 import re
 import shutil
 import sys
@@ -21,12 +22,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from py4j.protocol import Py4JError
 from pyspark.sql import functions as F
 
-#: Bytes that a memo may take, both generations together; an operator has one to three in a worker.
-MEMO_BYTES = 24 << 20
+#: Bytes that a memo may take, both generations together, as reckoned here (about a third is less in
+#: fact): of an encoder's chunks between spaces, and of any other; an operator has one to three.
+CHUNK_BYTES, MEMO_BYTES = 320 << 20, 24 << 20
 #: Bytes of a memo's entry besides its key and value, roughly.
 ENTRY_BYTES = 110
 #: Rows handled at once within an Arrow batch, and their bytes on average, so that long texts do not pile up.
-ROWS_AT_ONCE, BYTES_AT_ONCE = 512, 4 << 20
+ROWS_AT_ONCE, BYTES_AT_ONCE = 128, 2 << 20
 #: A key is hot that holds more than one in so many of all rows: there are fewer such keys than this.
 HOT_KEYS = 4096
 LITTLE = sys.byteorder == "little"
@@ -257,9 +259,11 @@ class Encoder:
             self.packed = self._whole
         contents = sorted({x.content.lower() for x in self.library.get_added_tokens_decoder().values()})
         self.added = re.compile("|".join(map(re.escape, contents)), re.IGNORECASE) if contents else None
-        self.pieces = Memo(self._piece)
-        self.spaced = Memo(lambda chunk: b"".join(map(self.pieces.__getitem__, BYTE_PIECE.findall(" " + chunk))))
-        self.chunks = Memo(lambda chunk: b"".join(map(self.pieces.__getitem__, WORD_PIECE.findall(chunk))))
+        start = os.path.commonprefix(contents)
+        #: Signs with which every added token begins; a text without them needs no search for the tokens.
+        self.sign = start if start == start.upper() else ""
+        self.chunks = Memo(self._spaced if self.packed == self._byte_level else self._chunk, CHUNK_BYTES)
+        self.bare = Memo(self._piece)
 
     def _little(self, ids: list[int]) -> bytes:
         values = array(self.dtype.char, ids)
@@ -269,19 +273,38 @@ class Encoder:
         return self._little(self.library.encode(text, add_special_tokens=False).ids)
 
     def _piece(self, piece: str) -> bytes:
-        return self._little([x.id for x in self.model.tokenize(piece.encode().decode("latin-1").translate(ALPHABET))])
+        if piece.isascii() and piece.isprintable():  # these are themselves in the byte-level alphabet, but for the space
+            shown = piece.replace(" ", ALPHABET[32])
+        else:
+            shown = piece.encode().decode("latin-1").translate(ALPHABET)
+        return self._little([x.id for x in self.model.tokenize(shown)])
+
+    def _spaced(self, chunk: str) -> bytes:
+        """Of a chunk with a space before it."""
+        found = BYTE_PIECE.findall(" " + chunk)
+        if len(found) == 1:
+            return self._piece(" " + chunk)
+        return b"".join([self.chunks[p[1:]] if p[0] == " " and len(p) > 1 else self.bare[p] for p in found])
+
+    def _chunk(self, chunk: str) -> bytes:
+        found = WORD_PIECE.findall(chunk)
+        return self._piece(chunk) if found == [chunk] else b"".join(map(self.chunks.__getitem__, found))
+
+    def _odd(self, text: str) -> bool:
+        """Whether only the library splits the text right."""
+        return not PLAIN.fullmatch(text) or (self.added is not None and self.sign in text and self.added.search(text) is not None)
 
     def _byte_level(self, text: str) -> bytes:
-        if not PLAIN.fullmatch(text) or (self.added and self.added.search(text)):
+        if self._odd(text):
             return self._whole(text)
         if "  " in text:
-            return b"".join(map(self.pieces.__getitem__, BYTE_PIECE.findall(text)))
-        first, _, rest = text.partition(" ")
-        head = b"".join(map(self.pieces.__getitem__, BYTE_PIECE.findall(first)))
-        return head + b"".join(map(self.spaced.__getitem__, rest.split(" "))) if _ else head
+            return b"".join([self.chunks[p[1:]] if p[0] == " " and len(p) > 1 else self.bare[p] for p in BYTE_PIECE.findall(text)])
+        first, space, rest = text.partition(" ")
+        head = b"".join(map(self.bare.__getitem__, BYTE_PIECE.findall(first)))
+        return head + b"".join(map(self.chunks.__getitem__, rest.split(" "))) if space else head
 
     def _words(self, text: str) -> bytes:
-        if not PLAIN.fullmatch(text) or (self.added and self.added.search(text)):
+        if self._odd(text):
             return self._whole(text)
         return b"".join(map(self.chunks.__getitem__, text.lower().split()))
 
