@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from .common import arrow_map, encoder, strings, written
 
 #: Rows of one length that a ranking task gets, roughly: a length with more is divided by salts.
-ROWS_PER_SALT = 20_000
+ROWS_PER_SALT = 2_000
 
 
 PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"

@@ -783,3 +783,17 @@ def test_shards_of_a_hot_key_keep_the_limit(spark, monkeypatch):
     for r in back:
         folders.setdefault(r.file.split(f"/{name}=")[1].split("/")[0], []).append(len((r.text or "").encode()))
     assert all(sum(x) <= 1000 or len(x) == 1 for x in folders.values()), folders
+
+
+def test_word_hashes_follow_words_whatever_the_stretches(monkeypatch):
+    text = " ".join(sentences(28, 1, 400)) + " ß_9 中文 été " + "y" * 700 + "\n\n;x"
+    whole = [np.concatenate(x) for x in zip(*near_dedup._word_hashes(text))]
+    spans = [(m.start(), m.group()) for m in re.finditer(r"\w+", text)]
+    assert whole[0].tolist() == [a for a, _ in spans]
+    of = {}
+    for (_, word), h in zip(spans, whole[1].tolist()):
+        assert of.setdefault(word, h) == h
+    assert len(set(of.values())) == len(of)
+    monkeypatch.setattr(near_dedup, "CHARACTERS", 7)
+    parts = [np.concatenate(x) for x in zip(*near_dedup._word_hashes(text))]
+    assert all((a == b).all() for a, b in zip(whole, parts))
