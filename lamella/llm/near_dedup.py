@@ -42,7 +42,7 @@ HASHES = BANDS * ROWS
 CELLS = 1 << 16
 #: Weights fall with the logarithm of the document frequency from 1 (in one of RARE documents or
 #: fewer, what the sketch can tell apart) to LEAST_WEIGHT (in all documents).
-RARE, LEAST_WEIGHT = 128.0, 0.6
+RARE, LEAST_WEIGHT = 128.0, 0.7
 #: Members of a bucket that meet at once on either side, and the bytes of their texts, roughly.
 BLOCK, BLOCK_BYTES = 512, 4 << 20
 #: Members besides the largest class from which a bucket is divided by shingles.
