@@ -1,8 +1,8 @@
-"""Command line: rowcount, meta and dump of Parquet files.
+"""Command line: rowcount, meta and dump of Parquet files. dump shows dictionary entries, or with -v values of any column.
 
 python -m lamella.cli rowcount PATH
 python -m lamella.cli meta [-e] [-s] PATH
-python -m lamella.cli dump [-s N] [-c COLUMN,...] PATH
+python -m lamella.cli dump [-s N] [-c COLUMN,...] [-v] PATH
 """
 
 from __future__ import annotations
@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .sources.footer import footers
+from .sources.pages import dictionaries
 
 
 def rowcount(spark: SparkSession, path: str) -> int:
@@ -46,11 +47,15 @@ def main(argv: list[str] | None = None) -> None:
     commands.choices["meta"].add_argument("-s", "--stats", action="store_true", help="with statistics")
     commands.choices["dump"].add_argument("-s", "--sample", type=int, default=5)
     commands.choices["dump"].add_argument("-c", "--columns", type=lambda x: x.split(","))
+    commands.choices["dump"].add_argument("-v", "--values", action="store_true", help="values of any column instead of dictionary entries")
     args = parser.parse_args(argv)
     spark = SparkSession.builder.master("local[*]").config("spark.ui.enabled", "false").getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     if args.command == "rowcount":
         print(f"Total RowCount: {rowcount(spark, args.path)}")
+    elif args.command == "dump" and not args.values:
+        for r in dictionaries(spark, args.path, args.columns, args.sample).orderBy("path", "row_group", "column_path", "idx").collect():
+            print(f"{r.column_path}[{r.idx}]: {r.value}")
     elif args.command == "dump":
         for r in dump(spark, args.path, args.sample, args.columns).orderBy("column_name", "value").collect():
             print(f"{r.column_name}: {r.value}")

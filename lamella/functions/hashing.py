@@ -2,21 +2,16 @@
 
 from __future__ import annotations
 
-import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 
-@F.pandas_udf(T.LongType())
-def _xxh64(values: pd.Series) -> pd.Series:
-    import xxhash
-
-    def one(x):
-        h = xxhash.xxh64_intdigest(x)
-        return h - (1 << 64) if h >> 63 else h
-
-    return pd.Series([None if x is None else one(x) for x in values], dtype="Int64")
+def _xxh64(value: Column) -> Column:
+    """Spark's expression with another seed, evaluated in the JVM; null for null."""
+    jvm = SparkSession.active()._jvm
+    bridge = jvm.org.apache.spark.sql.classic.ExpressionUtils
+    one = jvm.PythonUtils.toSeq([bridge.expression(value._jc)])
+    return F.when(value.isNotNull(), Column(bridge.column(jvm.org.apache.spark.sql.catalyst.expressions.XxHash64(one, 0))))
 
 
 def xxh64_bytes(value: Column) -> Column:
@@ -26,6 +21,4 @@ def xxh64_bytes(value: Column) -> Column:
 
 def xxh64_number(value: Column, size: int) -> Column:
     """Of a whole number's 4 or 8 little-endian bytes."""
-    from .bits import little_endian_hex
-
-    return _xxh64(F.unhex(little_endian_hex(value, size)))
+    return _xxh64(value.cast({4: "int", 8: "long"}[size]))

@@ -43,6 +43,28 @@ def probe(hashes: DataFrame, h: str, bits: DataFrame, blocks: int) -> DataFrame:
     return keyed.withColumn("maybe", every).drop("block", "_words")
 
 
+def words(filters: DataFrame) -> DataFrame:
+    """(path, row_group, column_path, block, word, bits) of the filters that files hold (pageindex.filters)."""
+    number = F.explode(F.sequence(F.lit(0), F.col("blocks") * 8 - 1))
+    rows = filters.select("path", "row_group", "column_path", "bitset", number.alias("_i"))
+    digits = F.hex(F.substring("bitset", F.col("_i") * 4 + 1, F.lit(4)))
+    swapped = F.concat(*[F.substring(digits, i, 2) for i in (7, 5, 3, 1)])
+    bits = F.conv(swapped, 16, 10).cast("long")
+    return rows.select("path", "row_group", "column_path", F.expr("_i div 8").cast("long").alias("block"), (F.col("_i") % 8).alias("word"), bits.alias("bits")).where("bits != 0")
+
+
+def contains(bitset: Column, blocks: Column, h: Column) -> Column:
+    """Whether a file's filter may have a hash; false means certainly absent. For pruning row groups by a key."""
+    block = F.shiftrightunsigned(F.shiftrightunsigned(h, 32) * blocks.cast("long"), 32)
+    every = F.lit(True)
+    for i in range(8):
+        bit = bit_of(h, i)
+        at = block * 32 + 4 * i + F.shiftright(bit, 3) + 1
+        byte = F.conv(F.hex(F.substring(bitset, at.cast("int"), F.lit(1))), 16, 10).cast("int")
+        every = every & (byte.bitwiseAND(F.call_function("shiftleft", F.lit(1), bit.bitwiseAND(F.lit(7)))) != 0)
+    return every
+
+
 def to_bytes(rows: list, blocks: int) -> bytes:
     """The filter as stored in a file, from the collected rows of build."""
     words = [0] * (8 * blocks)

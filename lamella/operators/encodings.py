@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.bits import bit_width
+from ..errors import InvalidParameter
 
 #: Values in a block of delta encoding (fixed value).
 DELTA_BLOCK = 128
@@ -35,17 +35,22 @@ def expand_runs(runs: DataFrame) -> DataFrame:
 
 
 def pack_bits(df: DataFrame, value: str, width: int) -> DataFrame:
-    """(page, word, packed): unsigned numbers of `width` bits, least first, in words of 63 div width values."""
-    per = 63 // width
-    shifted = F.call_function("shiftleft", F.col(value).cast("long"), F.pmod(F.col("place"), F.lit(per)).cast("int") * width)
-    return df.groupBy("page", F.expr(f"place div {per}").alias("word")).agg(F.sum(shifted).alias("packed"), F.count(F.lit(1)).cast("int").alias("n"))
+    """(page, word, packed, n): unsigned numbers of 1 to 64 bits, least first, in words of 64 div width values."""
+    if not 1 <= width <= 64:
+        raise InvalidParameter(f"width {width}")
+    per = 64 // width
+    low = F.col(value).cast("long").bitwiseAND(F.lit((1 << width) - 1 if width < 64 else -1).cast("long"))
+    shifted = F.call_function("shiftleft", low, F.pmod(F.col("place"), F.lit(per)).cast("int") * width)
+    return df.groupBy("page", F.expr(f"place div {per}").alias("word")).agg(F.bit_or(shifted).alias("packed"), F.count(F.lit(1)).cast("int").alias("n"))
 
 
 def unpack_bits(packed: DataFrame, width: int) -> DataFrame:
-    """(page, place, value) of pack_bits' rows."""
-    per = 63 // width
+    """(page, place, value) of pack_bits' rows; 64 bits are read as a signed number."""
+    if not 1 <= width <= 64:
+        raise InvalidParameter(f"width {width}")
+    per = 64 // width
     rows = packed.withColumn("_i", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
-    value = F.call_function("shiftright", F.col("packed"), F.col("_i") * width).bitwiseAND(F.lit((1 << width) - 1).cast("long"))
+    value = F.call_function("shiftrightunsigned", F.col("packed"), F.col("_i") * width).bitwiseAND(F.lit((1 << width) - 1 if width < 64 else -1).cast("long"))
     return rows.select("page", (F.col("word") * per + F.col("_i")).alias("place"), value.alias("value"))
 
 
@@ -55,22 +60,31 @@ def bitmap(df: DataFrame, flag: Column) -> DataFrame:
     return df.groupBy("page", F.expr("place div 8").alias("byte")).agg(F.sum(bit).alias("bits"))
 
 
+def _wrapped(n: Column) -> Column:
+    """A whole decimal as the 64-bit number that it equals modulo 2 ** 64."""
+    half, whole = (F.lit(str(1 << k)).cast("decimal(38,0)") for k in (63, 64))
+    return (F.pmod(n + half, whole) - half).cast("long")
+
+
 def deltas(df: DataFrame, value: str) -> DataFrame:
-    """(page, place, value, delta): differences to the value before in the page; the first has none."""
+    """(page, place, value, delta): differences, modulo 2 ** 64, to the value before in the page; the first has none."""
     w = Window.partitionBy("page").orderBy("place")
-    return df.select("page", "place", F.col(value).alias("value"), (F.col(value) - F.lag(value).over(w)).alias("delta"))
+    n = F.col(value).cast("decimal(38,0)")
+    return df.select("page", "place", F.col(value).alias("value"), _wrapped(n - F.lag(n).over(w)).alias("delta"))
 
 
 def delta_blocks(df: DataFrame, value: str) -> DataFrame:
-    """(page, block, first_value, min_delta, bit_width, n): what a delta encoder stores of each block."""
+    """(page, block, min_delta, bit_width, n): what a delta encoder stores of each block; widths go up to 64."""
     rows = deltas(df, value).withColumn("block", F.expr(f"(place - 1) div {DELTA_BLOCK}")).where("place > 0")
-    return rows.groupBy("page", "block").agg(F.min("delta").alias("min_delta"), bit_width(F.max("delta") - F.min("delta")).alias("bit_width"), F.count(F.lit(1)).alias("n"))
+    span = F.max(F.col("delta").cast("decimal(38,0)")) - F.min(F.col("delta").cast("decimal(38,0)"))
+    width = F.when(span == 0, 0).otherwise(F.length(F.conv(span.cast("string"), 10, 2))).cast("int")
+    return rows.groupBy("page", "block").agg(F.min("delta").alias("min_delta"), width.alias("bit_width"), F.count(F.lit(1)).alias("n"))
 
 
 def delta_decode(encoded: DataFrame) -> DataFrame:
-    """(page, place, value) from rows (page, place, first_value, delta) by a running sum."""
+    """(page, place, value) from rows (page, place, first_value, delta) by a running sum modulo 2 ** 64."""
     w = Window.partitionBy("page").orderBy("place").rowsBetween(Window.unboundedPreceding, 0)
-    return encoded.select("page", "place", F.sum(F.coalesce("delta", "first_value")).over(w).alias("value"))
+    return encoded.select("page", "place", _wrapped(F.sum(F.coalesce("delta", "first_value").cast("decimal(28,0)")).over(w)).alias("value"))
 
 
 def dictionary(df: DataFrame, value: str) -> DataFrame:
@@ -91,16 +105,37 @@ def dictionary_decode(encoded: DataFrame, entries: DataFrame) -> DataFrame:
 
 
 def common_prefix(a: Column, b: Column) -> Column:
-    """Bytes (of ASCII text: characters) that two strings share at their start."""
-    n = F.least(F.length(a), F.length(b))
-    number = F.when(n > 0, F.sequence(F.lit(1), n)).otherwise(F.array().cast("array<int>"))
-    return F.aggregate(number, F.lit(0), lambda length, i: F.when((length == i - 1) & (F.substring(a, i, F.lit(1)) == F.substring(b, i, F.lit(1))), i).otherwise(length))
+    """Bytes that two values share at their start: powers of two are added while the longer prefix is still shared."""
+    a, b = a.cast("binary"), b.cast("binary")
+    most = F.least(F.octet_length(a), F.octet_length(b))
+
+    def longer(n: Column, step: Column) -> Column:
+        return F.when((n + step <= most) & (F.substring(a, F.lit(1), n + step) == F.substring(b, F.lit(1), n + step)), n + step).otherwise(n)
+
+    return F.aggregate(F.array(*[F.lit(1 << i) for i in reversed(range(31))]), F.lit(0), longer)
 
 
 def front_coded(df: DataFrame, value: str) -> DataFrame:
-    """(page, place, prefix, suffix): the part shared with the string before, and the rest."""
+    """(page, place, prefix, suffix): bytes shared with the value before, and the bytes after them, in the value's type.
+
+    A prefix can end inside a character; a string's suffix then begins with the rest of it, so the
+    suffix is binary unless the values are ASCII: cast it where they are.
+    """
     w = Window.partitionBy("page").orderBy("place")
-    before = F.coalesce(F.lag(value).over(w), F.lit(""))
-    rows = df.select("page", "place", F.col(value).alias("value"), before.alias("_before"))
+    coded = F.col(value).cast("binary")
+    rows = df.select("page", "place", coded.alias("value"), F.coalesce(F.lag(coded).over(w), F.lit(b"")).alias("_before"))
     rows = rows.withColumn("prefix", common_prefix(F.col("value"), F.col("_before")))
     return rows.select("page", "place", "prefix", F.expr("substring(value, prefix + 1)").alias("suffix"))
+
+
+def front_decode(coded: DataFrame) -> DataFrame:
+    """(page, place, value as binary) from front_coded's rows; a page's values are rebuilt in order, in one row."""
+    pages = coded.groupBy("page").agg(F.sort_array(F.collect_list(F.struct("place", "prefix", "suffix"))).alias("x"))
+    state = "struct<last:binary,out:array<struct<place:bigint,value:binary>>>"
+
+    def step(s: Column, x: Column) -> Column:
+        value = F.concat(F.substring(s["last"], F.lit(1), x["prefix"]), x["suffix"])
+        return F.struct(value.alias("last"), F.concat(s["out"], F.array(F.struct(x["place"].cast("bigint").alias("place"), value.alias("value")))).alias("out")).cast(state)
+
+    none = F.struct(F.lit(b"").alias("last"), F.array().cast("array<struct<place:bigint,value:binary>>").alias("out")).cast(state)
+    return pages.select("page", F.explode(F.aggregate("x", none, step)["out"]).alias("r")).select("page", "r.place", "r.value")

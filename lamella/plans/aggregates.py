@@ -7,7 +7,11 @@ from pyspark.sql import functions as F
 from ..functions import bits
 from ..functions.hashing import xxh64_bytes, xxh64_number
 from ..operators import bloom, nested, schema
+from ..errors import OutOfSpec
 from ..operators.statistics import boundary_order, column_statistics
+from ..session import scratch
+from ..sources.pageindex import filters
+from ..sources.sink import WriteOptions, write
 from .registry import query, table
 
 
@@ -84,23 +88,85 @@ def sort_order_map(spark, sf):
     return spark.createDataFrame([(p, schema.sort_order(p)) for p in schema.PHYSICAL], "physical string, sort_order string")
 
 
-@query()
+#: Primes of xxh64 (fixed values of that hash).
+P1, P2, P3, P4, P5 = 11400714785074694791, 14029467366897019727, 1609587929392839161, 9650029242287828579, 2870177450012600261
+WRAP = "18446744073709551616::UHUGEINT"
+
+
+def _rotated(x: str, bits: int) -> str:
+    return f"(({x} * {2**bits}::UHUGEINT) % {WRAP} + {x} // {2 ** (64 - bits)}::UHUGEINT)"
+
+
+def hashed_sql(source: str, lanes: list[str], rest: list[str], size: int, name: str) -> str:
+    """CTEs that add h, the xxh64 of a value of `size` < 32 bytes, to a source: eight-byte lanes and single bytes as numbers."""
+    steps, at = [], source
+
+    def step(columns: str) -> None:
+        nonlocal at
+        steps.append(f"{name}{len(steps)} AS (SELECT * EXCLUDE (k, h), {columns} FROM {at})" if steps else f"{name}0 AS (SELECT *, {columns} FROM {at})")
+        at = f"{name}{len(steps) - 1}"
+
+    step(f"0::UHUGEINT AS k, {P5 + size}::UHUGEINT AS h")
+    for lane in lanes:
+        step(f"({lane})::UHUGEINT * {P2}::UHUGEINT % {WRAP} AS k, h")
+        step(f"{_rotated('k', 31)} * {P1}::UHUGEINT % {WRAP} AS k, h")
+        step(f"k, xor(h, k) AS h")
+        step(f"k, ({_rotated('h', 27)} * {P1}::UHUGEINT % {WRAP} + {P4}::UHUGEINT) % {WRAP} AS h")
+    for byte in rest:
+        step(f"k, xor(h, ({byte})::UHUGEINT * {P5}::UHUGEINT % {WRAP}) AS h")
+        step(f"k, {_rotated('h', 11)} * {P1}::UHUGEINT % {WRAP} AS h")
+    for bits, prime in ((33, P2), (29, P3)):
+        step(f"k, xor(h, h // {2**bits}::UHUGEINT) * {prime}::UHUGEINT % {WRAP} AS h")
+    step(f"k, xor(h, h // {2**32}::UHUGEINT) AS h")
+    return ", ".join(steps) + f", {name} AS (SELECT * EXCLUDE (k, h), h FROM {at})"
+
+
+def _number(text: str, start: int, size: int) -> str:
+    """Bytes of a text as a little-endian number."""
+    digits = " || ".join(f"substr(hex({text}), {2 * (start + i) + 1}, 2)" for i in reversed(range(size)))
+    return f"('0x' || {digits})::UBIGINT"
+
+
+KEYS = hashed_sql("customer", ["c_custkey"], [], 8, "keyed")
+NAMES = hashed_sql("customer", [_number("c_name", 0, 8), _number("c_name", 8, 8)], [_number("c_name", 16, 1), _number("c_name", 17, 1)], 18, "named")
+SIGNED = "CAST(CASE WHEN h >= 9223372036854775808::UHUGEINT THEN h::HUGEINT - 18446744073709551616::HUGEINT ELSE h::HUGEINT END AS BIGINT)"
+
+
+def words_sql(source: str, blocks: int, name: str) -> str:
+    """CTEs of the (block, word, bit) that each h of a source sets, and of the filter's words."""
+    salts = ", ".join(f"({i}, {x}::UHUGEINT)" for i, x in enumerate(bloom.SALTS))
+    block, bit = f"CAST((h // 4294967296::UHUGEINT) * {blocks}::UHUGEINT // 4294967296::UHUGEINT AS BIGINT)", "CAST((h % 4294967296::UHUGEINT) * salt % 4294967296::UHUGEINT // 134217728::UHUGEINT AS INTEGER)"
+    return f"{name}_bits AS (SELECT s.*, {block} AS block, word, 1::BIGINT << {bit} AS bit FROM {source} AS s, (VALUES {salts}) AS t(word, salt)), {name} AS (SELECT block, word, bit_or(bit) AS bits FROM {name}_bits GROUP BY 1, 2)"
+
+
+@query(f"WITH {KEYS}, {NAMES} SELECT c_custkey, (SELECT {SIGNED} FROM keyed AS k WHERE k.c_custkey = c.c_custkey) AS h_key, (SELECT {SIGNED} FROM named AS n WHERE n.c_custkey = c.c_custkey) AS h_name FROM customer AS c")
 def bloom_hash(spark, sf):
     return table(spark, sf, "customer").select("c_custkey", xxh64_number(F.col("c_custkey"), 8).alias("h_key"), xxh64_bytes(F.col("c_name")).alias("h_name"))
 
 
-@query()
+@query(f"WITH {NAMES}, {words_sql('named', 64, 'w')} SELECT block, word, bits FROM w")
 def bloom_build(spark, sf):
     """The words of a filter over customer names."""
     return bloom.build(table(spark, sf, "customer").select(xxh64_bytes(F.col("c_name")).alias("h")), "h", 64)
 
 
-@query("SELECT count(*) AS inserted, count(*) AS found FROM customer WHERE c_custkey % 2 = 0")
+BLOCKS = 64
+
+
+@query(
+    f"WITH {KEYS}, inside AS (SELECT * FROM keyed WHERE c_custkey % 2 = 0), {words_sql('inside', BLOCKS, 'w')}, {words_sql('keyed', BLOCKS, 'a')} "
+    "SELECT c_custkey, bool_and(coalesce(bits & bit, 0) <> 0) AS maybe FROM a_bits LEFT JOIN w USING (block, word) GROUP BY 1"
+)
 def bloom_probe(spark, sf):
-    """Every inserted name is found again: a filter has no false negatives."""
-    rows = table(spark, sf, "customer").where("c_custkey % 2 = 0").select(xxh64_bytes(F.col("c_name")).alias("h"))
-    found = bloom.probe(rows, "h", bloom.build(rows, "h", 256), 256)
-    return found.agg(F.count(F.lit(1)).alias("inserted"), F.count_if("maybe").alias("found"))
+    """Keys, half of them absent, asked of the filter that a written file holds."""
+    path = scratch(spark, "filtered")
+    write(table(spark, sf, "customer").where("c_custkey % 2 = 0").coalesce(1), path, WriteOptions(bloom={"c_custkey": 1000}))
+    found = filters(spark, path, ["c_custkey"])
+    blocks = {r["blocks"] for r in found.select("blocks").collect()}
+    if blocks != {BLOCKS}:
+        raise OutOfSpec(f"the writer made filters of {blocks} blocks")
+    asked = table(spark, sf, "customer").select("c_custkey", xxh64_number(F.col("c_custkey"), 8).alias("h"))
+    return bloom.probe(asked, "h", bloom.words(found), BLOCKS).select("c_custkey", "maybe")
 
 
 MESSAGE = """message orders { REQUIRED INT64 id = 1; OPTIONAL BYTE_ARRAY name (STRING); OPTIONAL INT32 day (DATE);
@@ -125,8 +191,6 @@ def schema_from_message(spark, sf):
 
 @query("SELECT * FROM (VALUES ('date on INT64', false), ('decimal of 9 digits on INT32', true), ('decimal of 10 digits on INT32', false), ('uuid of 16 bytes', true), ('string on INT32', false)) AS t(what, valid)")
 def schema_validate(spark, sf):
-    from ..errors import OutOfSpec
-
     cases = {"date on INT64": "INT64 a (DATE)", "decimal of 9 digits on INT32": "INT32 a (DECIMAL(9,2))", "decimal of 10 digits on INT32": "INT32 a (DECIMAL(10,2))", "uuid of 16 bytes": "FIXED_LEN_BYTE_ARRAY(16) a (UUID)", "string on INT32": "INT32 a (STRING)"}
 
     def valid(text):

@@ -37,6 +37,12 @@ def bitpack_roundtrip(spark, sf):
     return encodings.unpack_bits(encodings.pack_bits(rows, "small", 10), 10)
 
 
+@query(EVENTS_SQL + " SELECT page, place // 6 AS word, CAST(sum((user_id % 1024) << CAST(10 * (place % 6) AS INTEGER)) AS BIGINT) AS packed, CAST(count(*) AS INTEGER) AS n FROM v GROUP BY 1, 2")
+def bitpack_words(spark, sf):
+    """The packed words themselves."""
+    return encodings.pack_bits(events(spark, sf, (F.col("user_id") % 1024).alias("small")), "small", 10)
+
+
 @query(EVENTS_SQL + " SELECT page, ((count(*) + 7) // 8) * 2 + 1 AS header FROM v GROUP BY page")
 def rle_header(spark, sf):
     return events(spark, sf).groupBy("page").agg(F.count(F.lit(1)).alias("n")).select("page", bits.rle_header(F.col("n")).alias("header"))
@@ -54,6 +60,19 @@ def delta_encode_blocks(spark, sf):
     return encodings.delta_blocks(orders(spark, sf), "x")
 
 
+ENDS = (0, 2**63 - 1, -(2**63), 5, -(2**63), 2**63 - 1, 2**63 - 1, -1)
+ENDS_SQL = f"WITH v AS (SELECT * FROM (VALUES {', '.join(f'({i}, {x})' for i, x in enumerate(ENDS))}) AS t(place, x)), d AS (SELECT place, CAST(x AS HUGEINT) AS x, CAST(x AS HUGEINT) - lag(CAST(x AS HUGEINT)) OVER (ORDER BY place) AS d FROM v)"
+
+
+@query(ENDS_SQL + " SELECT CAST(place AS BIGINT) AS place, CAST(x AS BIGINT) AS value, CAST(CASE WHEN d > 9223372036854775807 THEN d - 18446744073709551616 WHEN d < -9223372036854775808 THEN d + 18446744073709551616 ELSE d END AS BIGINT) AS delta, CAST(x AS BIGINT) AS back FROM d")
+def delta_wraps(spark, sf):
+    """Differences between the ends of 64 bits, and the values back from them."""
+    rows = spark.createDataFrame([(0, i, x) for i, x in enumerate(ENDS)], "page long, place long, x long")
+    coded = encodings.deltas(rows, "x")
+    back = encodings.delta_decode(coded.select("page", "place", F.when(F.col("place") == 0, F.col("value")).alias("first_value"), "delta"))
+    return coded.join(back.withColumnRenamed("value", "back"), ["page", "place"]).drop("page")
+
+
 @query(ORDERS_SQL + " SELECT page, place, x AS value FROM v")
 def delta_decode(spark, sf):
     coded = encodings.deltas(orders(spark, sf), "x").select("page", "place", F.when(F.col("place") == 0, F.col("value")).alias("first_value"), "delta")
@@ -104,7 +123,7 @@ def dlba_lengths(spark, sf):
 
 @query(PARTS_SQL + ", w AS (SELECT *, coalesce(lag(p_name) OVER (PARTITION BY page ORDER BY place), '') AS b FROM v), k AS (SELECT *, list_max(list_filter(range(0, least(length(p_name), length(b)) + 1), lambda i: p_name[1:i] = b[1:i])) AS n FROM w) SELECT page, place, CAST(n AS INTEGER) AS prefix, substr(p_name, CAST(n AS INTEGER) + 1) AS suffix FROM k")
 def dba_prefix(spark, sf):
-    return encodings.front_coded(parts(spark, sf, "p_name"), "p_name")
+    return encodings.front_coded(parts(spark, sf, "p_name"), "p_name").withColumn("suffix", F.col("suffix").cast("string"))
 
 
 @query(PARTS_SQL + " SELECT page, place, CAST(dense_rank() OVER (PARTITION BY page ORDER BY p_type) - 1 AS INTEGER) AS idx FROM v")

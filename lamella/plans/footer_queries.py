@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..sources.footer import footers
+from ..sources.footer import chunk_bytes, footers
 from .registry import query
 
 SF = "/root/testdata/sf0.01"
@@ -69,9 +69,9 @@ def meta_schema(spark, sf):
     return footers(spark, f"{sf}/embeddings.parquet", "schema").select("name", "physical")
 
 
-@query()
+@query(f"SELECT 'orders' AS file, decode(key) AS key, CAST(octet_length(value) AS INTEGER) AS length FROM parquet_kv_metadata('{SF}/orders.parquet')")
 def meta_kv(spark, sf):
-    return footers(spark, f"{sf}/orders.parquet", "kv").select(name_of(), "key", F.length("value").alias("length"))
+    return footers(spark, f"{sf}/orders.parquet", "kv").select(name_of(), "key", F.octet_length("value").alias("length"))
 
 
 @query(f"SELECT path_in_schema AS column_path, num_values FROM {META}")
@@ -81,10 +81,7 @@ def meta_json(spark, sf):
     return text.select(F.from_json("j", "column_path string, num_values long").alias("x")).select("x.*")
 
 
-@query(f"SELECT path_in_schema AS column_path, total_compressed_size AS size FROM parquet_metadata('{SF}/nation.parquet')")
+@query(f"SELECT row_group_id AS row_group, path_in_schema AS column_path, total_compressed_size AS size FROM {META}")
 def raw_chunk_bytes(spark, sf):
     """The bytes of each chunk of a file, by its byte range."""
-    path = f"{sf}/nation.parquet"
-    whole = spark.read.format("binaryFile").load(path).select("content")
-    ranges = footers(spark, path, "chunk").select("column_path", "start", "compressed_size")
-    return ranges.join(whole, F.lit(True)).select("column_path", F.length(F.expr("substring(content, cast(start as int) + 1, cast(compressed_size as int))")).cast("long").alias("size"))
+    return chunk_bytes(spark, f"{sf}/lineitem.parquet").select("row_group", "column_path", F.octet_length("content").cast("long").alias("size"))

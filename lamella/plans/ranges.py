@@ -6,51 +6,59 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import encodings, intervals
+from ..session import scratch
+from ..sources import scan
+from ..sources.pageindex import page_headers, page_index
+from ..sources.sink import WriteOptions, write
 from .registry import query, table
 
 PAGE = 300
+FILE = "least(o_orderkey // 5000, 2)"
 
-PAGES_SQL = f"""WITH n AS (SELECT max(o_orderkey) - min(o_orderkey) + 1 AS rows, min(o_orderkey) AS base FROM orders),
- r AS (SELECT row_number() OVER (ORDER BY o_orderkey) - 1 AS row, o_totalprice FROM orders),
- p AS (SELECT row // {PAGE} AS page, min(row) AS start, count(*) AS length, max(o_totalprice) AS top FROM r GROUP BY 1)"""
+PAGES_SQL = f"""WITH r AS (SELECT {FILE} AS file, row_number() OVER (PARTITION BY {FILE} ORDER BY o_orderkey) - 1 AS row, o_orderkey, o_totalprice FROM orders),
+ p AS (SELECT CAST(file AS INTEGER) AS file, CAST(row // {PAGE} AS INTEGER) AS page, min(row) AS start, count(*) AS length, max(o_totalprice) AS top FROM r GROUP BY 1, 2)"""
+NUMBER = "CAST(regexp_extract(path, 'part-([0-9]+)', 1) AS INT) AS file"
 
 
-def numbered(spark, sf):
-    """Orders with their row number in the file."""
-    return table(spark, sf, "orders").select(F.col("_metadata.row_index").alias("row"), "o_orderkey", "o_totalprice")
+def three_files(spark, sf) -> str:
+    """Orders in three files by key, with pages of 300 rows."""
+    path = scratch(spark, "orders in files")
+    part = F.least(F.expr("o_orderkey div 5000"), F.lit(2)).cast("int")
+    rows = table(spark, sf, "orders").select("o_orderkey", "o_totalprice").repartitionById(3, part).sortWithinPartitions("o_orderkey")
+    write(rows, path, WriteOptions(page_rows=PAGE, dictionary=False))
+    return path
 
 
-def pages(spark, sf):
-    return numbered(spark, sf).groupBy(F.expr(f"row div {PAGE}").alias("page")).agg(F.min("row").alias("first_row"), F.max("o_totalprice").alias("top"))
+def with_lengths(spark, sf, path: str | None = None):
+    """The pages of the price by the files' own indexes: file, page, start, length, top."""
+    found = page_index(spark, path or three_files(spark, sf), ["o_totalprice"])
+    found = intervals.page_row_intervals(found, F.col("num_rows"), ["path", "row_group"])
+    return found.select("path", "row_group", F.expr(NUMBER), "page", "start", "length", F.col("max_value").cast("double").alias("top"))
 
 
-def with_lengths(spark, sf):
-    rows = numbered(spark, sf).agg(F.max("row") + 1).first()[0]
-    return intervals.page_row_intervals(pages(spark, sf).withColumn("file", F.lit("orders")), rows, ["file"]).drop("file", "first_row")
-
-
-@query(PAGES_SQL + " SELECT page, start, length FROM p")
+@query(PAGES_SQL + " SELECT file, page, start, length FROM p")
 def page_row_intervals(spark, sf):
-    return with_lengths(spark, sf).select("page", "start", "length")
+    return with_lengths(spark, sf).select("file", "page", "start", "length")
 
 
-@query(PAGES_SQL + " SELECT start, length FROM p WHERE top > (SELECT quantile_cont(top, 0.5) FROM p)")
+@query(PAGES_SQL + " SELECT file, start, length FROM p WHERE top > (SELECT quantile_cont(top, 0.5) FROM p)")
 def rows_from_pages(spark, sf):
     found = with_lengths(spark, sf)
     middle = found.agg(F.percentile("top", 0.5)).first()[0]
-    return intervals.rows_from_pages(found, F.col("top") > middle)
+    return found.where(F.col("top") > middle).select("file", "start", "length")
 
 
-@query(PAGES_SQL + " SELECT page FROM p WHERE top > 400000")
+@query(PAGES_SQL + " SELECT o_orderkey, o_totalprice FROM r JOIN p ON r.file = p.file AND r.row // 300 = p.page WHERE top > 400000")
 def prune_pages_minmax(spark, sf):
-    """Pages whose bounds can hold a price over 400000."""
-    return with_lengths(spark, sf).where("top > 400000").select("page")
+    """The rows of the pages whose bounds can hold a price over 400000; other pages are not read."""
+    return scan.page_pruned(spark, three_files(spark, sf), "o_totalprice", F.col("max_value").cast("double") > 400000)
 
 
-@query(PAGES_SQL + " SELECT page, length FROM p WHERE length >= 300")
+@query(PAGES_SQL + " SELECT file, page, length AS num_values FROM p WHERE length >= 300")
 def prune_pages_header(spark, sf):
-    """Pages by what their headers say: the number of values."""
-    return with_lengths(spark, sf).where("length >= 300").select("page", "length")
+    """Pages by what their headers in the file say: the number of values."""
+    found = page_headers(spark, three_files(spark, sf), ["o_totalprice"])
+    return found.where("page_type LIKE 'DATA%' AND num_values >= 300").select(F.expr(NUMBER), "page", "num_values")
 
 
 ASKED_SQL = ", q AS (SELECT k * 450 + 20 AS a, 130 AS n FROM range(0, 7) AS t(k))"
@@ -60,23 +68,31 @@ def asked(spark):
     return spark.range(0, 7).select((F.col("id") * 450 + 20).alias("start"), F.lit(130).cast("long").alias("length"))
 
 
-@query(PAGES_SQL + ASKED_SQL + " SELECT page, greatest(start, a) AS shared_start, least(start + length, a + n) - greatest(start, a) AS shared_length FROM p JOIN q ON start < a + n AND a < start + length")
+@query(PAGES_SQL + ASKED_SQL + " SELECT file, page, greatest(start, a) AS shared_start, least(start + length, a + n) - greatest(start, a) AS shared_length FROM p JOIN q ON start < a + n AND a < start + length")
 def interval_overlap(spark, sf):
     right = asked(spark).withColumnsRenamed({"start": "r_start", "length": "r_length"})
-    return intervals.overlaps(with_lengths(spark, sf), right, PAGE).select("page", "shared_start", "shared_length")
+    return intervals.overlaps(with_lengths(spark, sf), right, PAGE).select("file", "page", "shared_start", "shared_length")
 
 
-@query(PAGES_SQL + ASKED_SQL + """ SELECT page, coalesce(string_agg(CAST(greatest(start, a) - start AS VARCHAR) || '+' || CAST(least(start + length, a + n) - greatest(start, a) AS VARCHAR), ' ' ORDER BY a) FILTER (a IS NOT NULL), '') AS selected
-FROM p LEFT JOIN q ON start < a + n AND a < start + length GROUP BY page""")
+@query(PAGES_SQL + ASKED_SQL + """ SELECT file, page, coalesce(string_agg(CAST(greatest(start, a) - start AS VARCHAR) || '+' || CAST(least(start + length, a + n) - greatest(start, a) AS VARCHAR), ' ' ORDER BY a) FILTER (a IS NOT NULL), '') AS selected
+FROM p LEFT JOIN q ON start < a + n AND a < start + length GROUP BY file, page""")
 def select_pages(spark, sf):
-    rows = intervals.select_pages(asked(spark), with_lengths(spark, sf), PAGE)
+    rows = intervals.select_pages(asked(spark), with_lengths(spark, sf), PAGE, ["path", "row_group"])
     shown = F.concat_ws(" ", F.transform("selected", lambda x: F.concat_ws("+", x["start"].cast("string"), x["length"].cast("string"))))
-    return rows.select("page", shown.alias("selected"))
+    return rows.select("file", "page", shown.alias("selected"))
 
 
-@query(ASKED_SQL.replace(", q AS", "WITH q AS", 1) + ", r AS (SELECT row_number() OVER (ORDER BY o_orderkey) - 1 AS row, o_orderkey FROM orders) SELECT o_orderkey FROM r WHERE EXISTS (SELECT 1 FROM q WHERE row >= a AND row < a + n)")
+@query(PAGES_SQL + ASKED_SQL + " SELECT o_orderkey FROM r WHERE EXISTS (SELECT 1 FROM q WHERE row >= a AND row < a + n)")
 def slice_filter(spark, sf):
-    return intervals.rows_in(numbered(spark, sf), F.col("row"), asked(spark), PAGE).select("o_orderkey")
+    """Rows by their number in their file, of each of three files."""
+    rows = scan.with_rows(spark, three_files(spark, sf))
+    return intervals.rows_in(rows, F.col("row_index"), asked(spark), PAGE).select("o_orderkey")
+
+
+@query(PAGES_SQL + ASKED_SQL + " SELECT o_orderkey, o_totalprice FROM r WHERE EXISTS (SELECT 1 FROM q WHERE row >= a AND row < a + n)")
+def read_row_ranges(spark, sf):
+    """The same rows by reading only the pages that hold them."""
+    return scan.row_ranges(spark, three_files(spark, sf), asked(spark), by_file=True)
 
 
 VALID_SQL = "WITH v AS (SELECT event_id // 1000 AS page, row_number() OVER (PARTITION BY event_id // 1000 ORDER BY event_id) - 1 AS place, value > 30 AS valid FROM events)"
@@ -91,12 +107,14 @@ def validity_runs(spark, sf):
     return encodings.run_lengths(validity(spark, sf), "valid").select("page", "start", "value", "length")
 
 
-@query(VALID_SQL + " SELECT page, CASE WHEN place >= 100 AND place < 400 THEN 'selected' WHEN place < 100 THEN 'before' ELSE 'after' END AS part, count(*) AS n, count(*) FILTER (valid) AS set_bits FROM v GROUP BY 1, 2")
+GAPS_SQL = ", q AS (SELECT 100 + 250 * k AS a, 120 AS n FROM range(0, 3) AS t(k)), m AS (SELECT v.*, q.a FROM v LEFT JOIN q ON place >= a AND place < a + n), f AS (SELECT *, CASE WHEN place = 0 OR a IS DISTINCT FROM lag(a) OVER (PARTITION BY page ORDER BY place) THEN 1 ELSE 0 END AS fresh FROM m), g AS (SELECT *, sum(fresh) OVER (PARTITION BY page ORDER BY place) AS run FROM f)"
+
+
+@query(VALID_SQL + GAPS_SQL + " SELECT page, min(place) AS start, count(*) AS length, bool_and(a IS NOT NULL) AS selected, count(*) FILTER (valid) AS set_bits FROM g GROUP BY page, run")
 def filtered_validity(spark, sf):
-    """Rows 100 to 399 of each page, and the set bits in the gaps that are skipped."""
-    place = F.col("place")
-    part = F.when((place >= 100) & (place < 400), "selected").when(place < 100, "before").otherwise("after")
-    return validity(spark, sf).groupBy("page", part.alias("part")).agg(F.count(F.lit(1)).alias("n"), F.count_if("valid").alias("set_bits"))
+    """Stretches inside and outside three row intervals of each page, with their set bits."""
+    some = spark.range(0, 3).select((F.col("id") * 250 + 100).alias("start"), F.lit(120).cast("long").alias("length"))
+    return intervals.filtered_runs(validity(spark, sf), F.col("valid"), some, 500)
 
 
 @query("SELECT event_id, CASE WHEN value > 30 THEN 1 ELSE 0 END AS def FROM events")

@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators.statistics import column_statistics, merge
+from ..session import scratch
 from ..sources import scan
+from ..sources.pages import dictionaries
 from .registry import query, table
 
-FOOTERS = "/root/testdata/sf0.01"
-
 
 @query("""SELECT l_returnflag, min(l_quantity) AS min_value, max(l_quantity) AS max_value, CAST(0 AS BIGINT) AS null_count, count(*) AS num_values
 FROM lineitem WHERE l_quantity > 10 GROUP BY l_returnflag""")
@@ -33,7 +33,8 @@ def scan_project(spark, sf):
 
 @query("SELECT event_id, event_type FROM (SELECT *, row_number() OVER (ORDER BY event_id) - 1 AS r FROM events) WHERE r BETWEEN 100 AND 149 OR r BETWEEN 700 AND 709")
 def scan_row_ranges(spark, sf):
-    return scan.row_ranges(spark, f"{sf}/events.parquet", [(100, 50), (700, 10)]).select("event_id", "event_type")
+    """Rows by number: the pages that hold them are read, by the offset index where a file has one."""
+    return scan.row_ranges(spark, f"{sf}/events.parquet", [(100, 50), (700, 10)], ["event_id", "event_type"])
 
 
 @query("SELECT vec_id, len(embedding) AS n, CAST(round(list_sum(embedding), 3) AS DOUBLE) AS total, label FROM embeddings")
@@ -48,11 +49,23 @@ def row_count(spark, sf):
     return table(spark, sf, "lineitem").agg(F.count(F.lit(1)).alias("num_rows"))
 
 
-@query("SELECT c_custkey, c_mktsegment FROM customer WHERE c_custkey <= 500 AND c_acctbal > 0")
+FOUR = "least(c_custkey // 400, 3)"
+
+
+@query(f"SELECT c_custkey, c_mktsegment FROM customer WHERE {FOUR} IN (SELECT {FOUR} FROM customer GROUP BY 1 HAVING count(*) = 400) AND c_acctbal > 0")
 def prune_row_groups(spark, sf):
-    """Row groups with more than 10 rows, then a pushed predicate."""
-    rows = scan.pruned(spark, f"{sf}/customer.parquet", F.col("num_rows") > 10)
-    return rows.where("c_custkey <= 500 AND c_acctbal > 0").select("c_custkey", "c_mktsegment")
+    """Of four files the row groups with 400 rows; the others are not read."""
+    path = scratch(spark, "four")
+    part = F.least(F.expr("c_custkey div 400"), F.lit(3)).cast("int")
+    table(spark, sf, "customer").repartitionById(4, part).write.parquet(path)
+    rows = scan.pruned(spark, path, F.col("num_rows") == 400, ["c_custkey", "c_mktsegment", "c_acctbal"])
+    return rows.where("c_acctbal > 0").select("c_custkey", "c_mktsegment")
+
+
+@query("SELECT 'o_orderpriority' AS column_path, o_orderpriority AS value FROM orders GROUP BY 2 UNION ALL SELECT 'o_orderstatus', o_orderstatus FROM orders GROUP BY 2")
+def dictionary_dump(spark, sf):
+    """The entries of the dictionary pages."""
+    return dictionaries(spark, f"{sf}/orders.parquet", ["o_orderpriority", "o_orderstatus"]).select("column_path", "value").distinct()
 
 
 @query("""SELECT * FROM (SELECT 'nation' AS column_name, CAST(n_name AS VARCHAR) AS value, row_number() OVER (ORDER BY n_name) AS r FROM (SELECT DISTINCT n_name FROM nation)

@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import scratch
-from ..sources.footer import footers
+from ..sources import scan
+from ..sources.footer import footers, sidecar
 from ..sources.pageindex import page_index
-from ..sources.sink import CODECS, WriteOptions, sidecar, write
+from ..sources.sink import CODECS, WriteOptions, write, write_arrow, write_sidecar
 from .registry import query, table
 
 
@@ -55,35 +56,56 @@ def write_levels(spark, sf):
 @query("SELECT count(*) AS num_rows, true AS several FROM lineitem")
 def write_row_groups(spark, sf):
     path = scratch(spark, "groups")
-    write(table(spark, sf, "lineitem").coalesce(1), path, WriteOptions(row_group_bytes=1 << 17, page_rows=1000))
+    write(table(spark, sf, "lineitem"), path, WriteOptions(row_group_bytes=1 << 17, page_rows=1000))
     return footers(spark, path, "row_group").agg(F.sum("num_rows").alias("num_rows"), (F.count(F.lit(1)) > 1).alias("several"))
 
 
-@query("SELECT count(*) AS num_rows, CAST(4 AS BIGINT) AS files, false AS absolute FROM orders")
+@query("SELECT count(*) AS num_rows, CAST(4 AS BIGINT) AS files, CAST(4 AS BIGINT) AS row_groups, false AS absolute FROM orders")
 def meta_sidecar(spark, sf):
-    """One manifest of the row groups of several files, by relative path."""
+    """A file of footers alone: the row groups of several files, by relative path."""
     path = scratch(spark, "parts")
     write(table(spark, sf, "orders").repartition(4), path)
-    manifest = sidecar(footers(spark, path, "row_group"), path)
-    return manifest.agg(F.sum("num_rows").alias("num_rows"), F.countDistinct("file_path").alias("files"), F.bool_or(F.col("file_path").startswith("/") | F.col("file_path").contains(":")).alias("absolute"))
+    write_sidecar(spark, path)
+    found = sidecar(spark, f"{path}/_metadata")
+    absolute = F.bool_or(F.col("file_path").startswith("/") | F.col("file_path").contains(":"))
+    return found.agg(F.sum("num_rows").alias("num_rows"), F.countDistinct("file_path").alias("files"), F.count(F.lit(1)).alias("row_groups"), absolute.alias("absolute"))
+
+
+@query("SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderdate, o_orderpriority FROM orders")
+def write_brotli(spark, sf):
+    """Written and read by Arrow: Spark has no such codec here."""
+    path = scratch(spark, "brotli")
+    write_arrow(table(spark, sf, "orders"), path, WriteOptions(codec="brotli", level=5))
+    return scan.pruned(spark, path, F.lit(True))
+
+
+TWO = "least(event_id // 5000, 1)"
+EVENT_PAGES = f"WITH r AS (SELECT CAST({TWO} AS INTEGER) AS file, row_number() OVER (PARTITION BY {TWO} ORDER BY event_id) - 1 AS row, * FROM events)"
 
 
 def indexed(spark, sf) -> DataFrame:
+    """The page index of events in two files, with pages of 500 rows."""
     path = scratch(spark, "indexed")
-    rows = table(spark, sf, "events").select("event_id", "user_id", "event_type").coalesce(1).sortWithinPartitions("event_id")
-    write(rows, path, WriteOptions(page_rows=500, bloom={"user_id": 1000}))
-    return page_index(spark, path, ["event_id", "user_id"])
+    part = F.least(F.expr("event_id div 5000"), F.lit(1)).cast("int")
+    rows = table(spark, sf, "events").select("event_id", "user_id", "event_type", "value").repartitionById(2, part).sortWithinPartitions("event_id")
+    write(rows, path, WriteOptions(page_rows=500))
+    return page_index(spark, path).withColumn("file", F.regexp_extract("path", r"part-(\d+)", 1).cast("int"))
 
 
-@query("SELECT c AS column_path, count(*) AS num_rows, CAST(0 AS BIGINT) AS first_row FROM events, (VALUES ('event_id'), ('user_id')) AS t(c) GROUP BY 1")
+@query(EVENT_PAGES + " SELECT file, c AS column_path, CAST(row // 500 AS INTEGER) AS page, min(row) AS first_row, count(*) AS rows, true AS apart FROM r, (VALUES ('event_id'), ('user_id'), ('event_type'), ('value')) AS t(c) GROUP BY 1, 2, 3")
 def page_locations(spark, sf):
-    """Pages tile the rows: starts at 0, strictly rising offsets."""
-    rows = indexed(spark, sf)
-    return rows.groupBy("column_path").agg(F.max("num_rows").alias("num_rows"), F.min("first_row").alias("first_row"))
+    """Each page's rows; a page's bytes lie behind those of the page before it."""
+    before = Window.partitionBy("path", "row_group", "column_path").orderBy("page")
+    apart = F.coalesce(F.col("page_offset") >= F.lag(F.col("page_offset") + F.col("compressed_size")).over(before), F.lit(True))
+    return indexed(spark, sf).select("file", "column_path", "page", "first_row", "rows", apart.alias("apart"))
 
 
-@query("SELECT c AS column_path, CAST(min(CASE WHEN c = 'event_id' THEN event_id ELSE user_id END) AS BIGINT) AS low, CAST(max(CASE WHEN c = 'event_id' THEN event_id ELSE user_id END) AS BIGINT) AS high, CAST(0 AS BIGINT) AS nulls FROM events, (VALUES ('event_id'), ('user_id')) AS t(c) GROUP BY 1")
+@query(EVENT_PAGES + """, b AS (SELECT file, row // 500 AS page, 'event_id' AS column_path, CAST(event_id AS VARCHAR) AS v, CAST(event_id AS DOUBLE) AS x FROM r
+ UNION ALL SELECT file, row // 500, 'user_id', CAST(user_id AS VARCHAR), CAST(user_id AS DOUBLE) FROM r UNION ALL SELECT file, row // 500, 'event_type', event_type, NULL FROM r UNION ALL SELECT file, row // 500, 'value', NULL, value FROM r)
+SELECT file, CAST(page AS INTEGER) AS page, column_path, min(x) AS low, max(x) AS high, CASE WHEN column_path = 'event_type' THEN min(v) END AS low_text, CASE WHEN column_path = 'event_type' THEN max(v) END AS high_text, CAST(0 AS BIGINT) AS nulls FROM b GROUP BY 1, 2, 3""")
 def page_index_stats(spark, sf):
-    """The bounds of a file's pages, merged."""
-    rows = indexed(spark, sf)
-    return rows.groupBy("column_path").agg(F.min(F.col("min_value").cast("long")).alias("low"), F.max(F.col("max_value").cast("long")).alias("high"), F.sum("null_count").alias("nulls"))
+    """Every page's bounds, by the column's type."""
+    text = F.col("column_path") == "event_type"
+    bound = [F.when(~text, F.col(c).try_cast("double")).alias(n) for c, n in (("min_value", "low"), ("max_value", "high"))]
+    shown = [F.when(text, F.col(c)).alias(n) for c, n in (("min_value", "low_text"), ("max_value", "high_text"))]
+    return indexed(spark, sf).select("file", "page", "column_path", *bound, *shown, F.col("null_count").alias("nulls"))

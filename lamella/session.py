@@ -2,8 +2,18 @@
 
 from __future__ import annotations
 
+import atexit
+import re
+import shutil
+import uuid
+
+from py4j.protocol import Py4JError
 from pyspark.sql import SparkSession
 
+from .errors import InvalidParameter
+
+_folders: set[str] = set()
+
 
 def aggregate_pushdown(spark: SparkSession, on: bool = True) -> None:
     """Lets MIN, MAX and COUNT be answered from footers (needs the newer Parquet source)."""
@@ -26,8 +36,26 @@ def row_reader(spark: SparkSession, on: bool = True) -> None:
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A fresh path for a table below spark.checkpoint.dir (a local folder where that is unset)."""
-    import uuid
-
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/checkpoints/lamella"
-    return f"{base.rstrip('/')}/engine/{name}-{uuid.uuid4().hex[:12]}"
+    """A fresh path for a table below spark.checkpoint.dir; a local folder stands in for it in local mode alone.
+
+    The folders of an application are deleted when Python ends.
+    """
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise InvalidParameter("spark.checkpoint.dir must name a folder that all executors share")
+        base = "file:///tmp/checkpoints/lamella"
+    folder = f"{base.rstrip('/')}/engine-{spark.sparkContext.applicationId}"
+    if folder not in _folders:
+        _folders.add(folder)
+        atexit.register(_drop, spark, folder)
+    return f"{folder}/{name}-{uuid.uuid4().hex[:12]}"
+
+
+def _drop(spark: SparkSession, folder: str) -> None:
+    try:
+        found = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+        found.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(found, True)
+    except (Py4JError, OSError, AttributeError):  # the JVM has ended: only a local folder can still be deleted
+        if folder.startswith("file:///"):
+            shutil.rmtree(folder[7:], ignore_errors=True)

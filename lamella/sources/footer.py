@@ -1,4 +1,4 @@
-"""Footers as tables: a Spark data source with a task for each file.
+"""Footers as tables, read by the tasks that hold the files' names.
 
 Views: file, row_group, chunk, schema, kv. Paths are found by Spark's own file listing, so that any
 store it reads can be inspected; executors open them through Arrow's file systems.
@@ -10,8 +10,9 @@ from collections.abc import Iterator
 
 import pyarrow.parquet as pq
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+
+from .files import per_file, per_row
+from .raw import Footer, opened, ranged
 
 VIEWS = {
     "file": "path string, created_by string, format_version string, num_rows long, num_row_groups long, num_columns long, footer_size long",
@@ -26,24 +27,8 @@ VIEWS = {
 }
 
 
-class _File(InputPartition):
-    def __init__(self, path: str):
-        self.path = path
-
-
-def _opened(path: str):
-    if path.startswith("file:"):
-        return pq.ParquetFile("/" + path[5:].lstrip("/"))
-    if "://" in path:
-        from pyarrow import fs
-
-        system, inner = fs.FileSystem.from_uri(path)
-        return pq.ParquetFile(system.open_input_file(inner))
-    return pq.ParquetFile(path)
-
-
 def _rows(path: str, view: str) -> Iterator[tuple]:
-    with _opened(path) as f:
+    with pq.ParquetFile(opened(path)) as f:
         meta, schema = f.metadata, f.schema
         if view == "file":
             yield path, meta.created_by, meta.format_version, meta.num_rows, meta.num_row_groups, meta.num_columns, meta.serialized_size
@@ -76,38 +61,30 @@ def _rows(path: str, view: str) -> Iterator[tuple]:
                 yield path, k.decode("utf-8", "replace"), v.decode("utf-8", "replace")
 
 
-class _Reader(DataSourceReader):
-    def __init__(self, paths: list[str], view: str):
-        self.paths, self.view = paths, view
-
-    def partitions(self):
-        return [_File(p) for p in self.paths]
-
-    def read(self, partition):
-        yield from _rows(partition.path, self.view)
-
+def footers(spark: SparkSession, path: str, view: str = "file") -> DataFrame:
+    """One of the VIEWS over all files below a path."""
+    return per_file(spark, path, lambda name, length: _rows(name, view), VIEWS[view])
 
-class Footers(DataSource):
-    """format("footers") with the options view and paths (one a line)."""
 
-    @classmethod
-    def name(cls) -> str:
-        return "footers"
+def chunk_bytes(spark: SparkSession, path: str, columns: list[str] | None = None) -> DataFrame:
+    """(path, row_group, column_path, start, content): the bytes of each chunk; a task reads its chunks' ranges and nothing else."""
+    chunks = footers(spark, path, "chunk")
+    if columns is not None:
+        chunks = chunks.where(chunks["column_path"].isin(columns))
 
-    def schema(self) -> str:
-        return VIEWS[self.options.get("view", "file")]
+    def rows_of(name: str, g: int, column: str, start: int, size: int) -> Iterator[tuple]:
+        with opened(name) as f:
+            yield name, g, column, start, ranged(f, start, size)
 
-    def reader(self, schema) -> DataSourceReader:
-        return _Reader([p for p in self.options["paths"].split("\n") if p], self.options.get("view", "file"))
+    return per_row(chunks.select("path", "row_group", "column_path", "start", "compressed_size"), rows_of, "path string, row_group long, column_path string, start long, content binary")
 
 
-def files(spark: SparkSession, path: str) -> list[str]:
-    """The Parquet files below a path; their contents are not read."""
-    listed = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path")
-    return sorted(r.path for r in listed.where(~F.col("path").rlike(r"/[_.][^/]*$")).collect())
+def sidecar(spark: SparkSession, path: str) -> DataFrame:
+    """(file_path, row_group, num_rows) of the row groups that a file of footers alone names."""
 
+    def rows_of(name: str) -> Iterator[tuple]:
+        with opened(name) as f:
+            for i, group in enumerate(Footer(f).groups):
+                yield group[1][0].get(1, b"").decode(), i, group[3]
 
-def footers(spark: SparkSession, path: str, view: str = "file") -> DataFrame:
-    """One of the VIEWS over all files below a path."""
-    spark.dataSource.register(Footers)
-    return spark.read.format("footers").option("view", view).option("paths", "\n".join(files(spark, path))).load()
+    return per_row(spark.createDataFrame([(path,)], "path string"), rows_of, "file_path string, row_group long, num_rows long")

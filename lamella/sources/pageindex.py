@@ -1,66 +1,81 @@
-"""Page indexes of Parquet files: per-page bounds, null counts and locations.
+"""Page indexes, page headers and bloom filters of Parquet files, a row for each page or chunk.
 
-Spark's own Parquet library reads them; nothing but footers and indexes is read. They are gathered by
-the driver, as planning is, for the files that are asked for.
+Tasks read footers and the ranges that footers point to, and no values.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 from pyspark.sql import DataFrame, SparkSession
 
-from .footer import files
+from .files import per_file
+from .raw import CODECS, ENCODINGS, PAGES, Footer, named, opened
 
-SCHEMA = (
-    "path string, row_group int, column_path string, page int, first_row long, page_offset long, compressed_size long, "
-    "null_count long, all_null boolean, min_value string, max_value string, boundary_order string, num_rows long"
+INDEX = (
+    "path string, row_group int, column_path string, page int, first_row long, rows long, page_offset long, compressed_size long, "
+    "null_count long, all_null boolean, min_value string, max_value string, min_raw binary, max_raw binary, boundary_order string, num_rows long"
+)
+HEADERS = (
+    "path string, row_group int, column_path string, page int, page_type string, encoding string, codec string, num_values long, null_count long, "
+    "page_offset long, header_size long, compressed_size long, uncompressed_size long, min_value string, max_value string"
 )
+FILTERS = "path string, row_group int, column_path string, blocks int, bitset binary"
 
 
 def page_index(spark: SparkSession, path: str, columns: list[str] | None = None) -> DataFrame:
-    """A row for each page of each column chunk that has an offset index; first_row counts within the row group."""
-    jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    hadoop = jvm.org.apache.parquet.hadoop
-    rows = []
-    for name in files(spark, path):
-        reader = hadoop.ParquetFileReader.open(hadoop.util.HadoopInputFile.fromPath(jvm.org.apache.hadoop.fs.Path(name), conf))
-        try:
-            for g, block in enumerate(reader.getFooter().getBlocks()):
-                for chunk in block.getColumns():
-                    dotted = chunk.getPath().toDotString()
-                    offsets = reader.readOffsetIndex(chunk) if columns is None or dotted in columns else None
-                    if offsets is None:
-                        continue
-                    index = reader.readColumnIndex(chunk)
-                    kind = chunk.getPrimitiveType()
-                    n = offsets.getPageCount()
-                    nulls = index and index.getNullCounts()
-                    empty = index and index.getNullPages()
-                    low, high = (index.getMinValues(), index.getMaxValues()) if index else (None, None)
-                    order = index.getBoundaryOrder().toString() if index else None
-                    for i in range(n):
-                        known = index is not None and not empty[i]
-                        rows.append((
-                            name, g, dotted, i, offsets.getFirstRowIndex(i), offsets.getOffset(i), offsets.getCompressedPageSize(i),
-                            nulls[i] if nulls else None, empty[i] if index else None,
-                            _text(kind, low[i], jvm) if known else None, _text(kind, high[i], jvm) if known else None, order, block.getRowCount(),
-                        ))
-        finally:
-            reader.close()
-    return spark.createDataFrame(rows, SCHEMA)
-
-
-def _text(kind, raw, jvm) -> str:
-    """A bound as text: numbers in decimal, strings as they are."""
-    name = kind.getPrimitiveTypeName().toString()
-    data = bytes(raw.array()) if isinstance(raw.array(), (bytes, bytearray)) else bytes(x & 0xFF for x in raw.array())
-    data = data[raw.arrayOffset() + raw.position() : raw.arrayOffset() + raw.limit()]
-    if name in ("INT32", "INT64"):
-        return str(int.from_bytes(data, "little", signed=True))
-    if name == "BOOLEAN":
-        return str(data[:1] == b"\x01").lower()
-    if name in ("FLOAT", "DOUBLE"):
-        import struct
-
-        return repr(struct.unpack("<f" if name == "FLOAT" else "<d", data)[0])
-    return data.decode("utf-8", "replace")
+    """A row for each data page of each chunk with an offset index; first_row counts within the row group.
+
+    Bounds are text by the column's type (see raw.Leaf) and raw bytes; pages of nulls alone have none.
+    rows: how many rows the page has; num_rows: those of its row group.
+    """
+
+    def rows_of(name: str, length: int) -> Iterator[tuple]:
+        with opened(name) as f:
+            foot = Footer(f, size=length)
+            for g, group, leaf, chunk in foot.chunks(columns):
+                pages, index = foot.offsets(chunk), foot.bounds(chunk)
+                for i, (offset, size, first) in enumerate(pages or ()):
+                    end = pages[i + 1][2] if i + 1 < len(pages) else group[3]
+                    known = index is not None and not index["nulls_only"][i]
+                    low, high = (index["min"][i], index["max"][i]) if known else (None, None)
+                    yield (
+                        name, g, leaf.path, i, first, end - first, offset, size, index["nulls"][i] if index and index["nulls"] else None,
+                        index["nulls_only"][i] if index else None, leaf.shown(low), leaf.shown(high), low, high, index["order"] if index else None, group[3],
+                    )
+
+    return per_file(spark, path, rows_of, INDEX)
+
+
+def page_headers(spark: SparkSession, path: str, columns: list[str] | None = None) -> DataFrame:
+    """A row for each page, dictionaries included, by the headers in the file; bodies are passed over."""
+
+    def rows_of(name: str, length: int) -> Iterator[tuple]:
+        with opened(name) as f:
+            foot = Footer(f, size=length)
+            for g, _, leaf, chunk in foot.chunks(columns):
+                for i, (offset, size, x) in enumerate(foot.pages(chunk)):
+                    head = x.get(5) or x.get(8) or x.get(7) or {}
+                    stats = (x.get(5) or {}).get(5) or (x.get(8) or {}).get(8) or {}
+                    nulls = head.get(2) if 8 in x else stats.get(3)
+                    encoding = head.get(4) if 8 in x else head.get(2)
+                    yield (
+                        name, g, leaf.path, i, named(PAGES, x[1]), None if encoding is None else named(ENCODINGS, encoding), named(CODECS, chunk[3][4]), head.get(1), nulls,
+                        offset, size, x[3], x[2], leaf.shown(stats.get(6)), leaf.shown(stats.get(5)),
+                    )
+
+    return per_file(spark, path, rows_of, HEADERS)
+
+
+def filters(spark: SparkSession, path: str, columns: list[str] | None = None) -> DataFrame:
+    """The split-block bloom filter of each chunk that has one."""
+
+    def rows_of(name: str, length: int) -> Iterator[tuple]:
+        with opened(name) as f:
+            foot = Footer(f, size=length)
+            for g, _, leaf, chunk in foot.chunks(columns):
+                bitset = foot.bloom(chunk)
+                if bitset is not None:
+                    yield name, g, leaf.path, len(bitset) // 32, bitset
+
+    return per_file(spark, path, rows_of, FILTERS)

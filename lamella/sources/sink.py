@@ -5,14 +5,20 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+import uuid
+from collections.abc import Iterator
 
-from ..errors import FeatureNotActive, FeatureNotSupported, InvalidParameter
+import pyarrow as pa
+import pyarrow.parquet as pq
+from pyspark.sql import DataFrame, SparkSession
+
+from ..errors import FeatureNotActive, FeatureNotSupported, InvalidParameter, OutOfSpec
+from .files import per_file
+from .raw import opened
 
 #: Codecs that Spark writes without further libraries (fixed values).
 CODECS = ("none", "snappy", "gzip", "zstd", "lz4", "lz4_raw")
-LEVELS = {"gzip": (0, 9), "zstd": (1, 22)}
+LEVELS = {"gzip": (0, 9), "zstd": (1, 22), "brotli": (0, 11)}
 
 
 @dataclass
@@ -29,7 +35,7 @@ class WriteOptions:
 
     def options(self) -> dict[str, str]:
         if self.codec == "brotli":
-            raise FeatureNotActive("brotli needs a codec library on Spark's class path")
+            raise FeatureNotActive("Spark has no brotli codec here; write_arrow writes it")
         if self.codec not in CODECS:
             raise FeatureNotSupported(f"codec {self.codec}")
         if self.version not in (1, 2):
@@ -52,8 +58,79 @@ def write(df: DataFrame, path: str, options: WriteOptions = WriteOptions(), mode
     df.write.options(**options.options()).mode(mode).parquet(path)
 
 
-def sidecar(df_footers: DataFrame, root: str) -> DataFrame:
-    """The combined row groups of many files with paths relative to a root: a manifest."""
-    inner = re.sub(r"^\w+:/+", "/", root).rstrip("/")
-    start = F.instr("path", inner) + len(inner) + 1
-    return df_footers.withColumn("file_path", F.substring(F.col("path"), start, F.length("path"))).drop("path")
+def _target(folder: str, name: str) -> pa.NativeFile:
+    """A new file in a folder of any store that Arrow writes to."""
+    from pyarrow import fs
+
+    local = folder if not folder.startswith("file:") else "/" + folder[5:].lstrip("/")
+    system, inner = (fs.LocalFileSystem(), local) if "://" not in local else fs.FileSystem.from_uri(local)
+    system.create_dir(inner, recursive=True)
+    return system.open_output_stream(f"{inner}/{name}")
+
+
+def write_arrow(df: DataFrame, path: str, options: WriteOptions = WriteOptions(codec="brotli", level=1), group_rows: int = 1 << 17) -> list[str]:
+    """Writes with Arrow, a file for each partition, what Spark has no codec for; returns the files' names.
+
+    Read such files by scan.pruned or scan.row_ranges, which use Arrow too. A task that is repeated
+    writes a file of its own; only the files that are returned count, and others are deleted.
+    """
+    if options.codec not in (*CODECS, "brotli"):
+        raise FeatureNotSupported(f"codec {options.codec}")
+    low, high = LEVELS.get(options.codec, (1, 0))
+    if options.level is not None and not low <= options.level <= high:
+        raise InvalidParameter(f"level {options.level} of {options.codec}")
+    wanted = {"none": "none", "lz4_raw": "lz4"}.get(options.codec, options.codec)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        writer = sink = None
+        name = f"part-{uuid.uuid4().hex}.parquet"
+        for batch in batches:
+            if writer is None:
+                sink = _target(path, name)
+                writer = pq.ParquetWriter(
+                    sink, batch.schema, compression=wanted, compression_level=options.level, use_dictionary=options.dictionary, write_statistics=options.statistics,
+                    data_page_version=f"{options.version}.0", write_page_index=options.statistics, **({"data_page_size": options.page_bytes} if options.page_bytes else {}),
+                )
+            writer.write_batch(batch, group_rows)
+        if writer is not None:
+            writer.close()
+            sink.close()
+            yield pa.record_batch([pa.array([name])], ["name"])
+
+    names = sorted(r["name"] for r in df.mapInArrow(run, "name string").collect())
+    spark = df.sparkSession
+    for other in spark.read.format("binaryFile").option("pathGlobFilter", "part-*.parquet").load(path).select("path").collect() if names else []:
+        if other["path"].rsplit("/", 1)[1] not in names:
+            found = spark._jvm.org.apache.hadoop.fs.Path(other["path"])
+            found.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(found, False)
+    return names
+
+
+def write_sidecar(spark: SparkSession, root: str, name: str = "_metadata") -> int:
+    """Writes a file that is nothing but the footer of all files below root, with their relative paths; returns its row groups.
+
+    Footers are read by tasks; the one file that they make up is put together by the driver, in order of path.
+    """
+
+    def rows_of(path: str, length: int) -> Iterator[tuple]:
+        with opened(path) as f:
+            out = pa.BufferOutputStream()
+            pq.ParquetFile(f).metadata.write_metadata_file(out)
+            yield path, out.getvalue().to_pybytes()
+
+    start = len(re.sub(r"^\w+:/+", "/", root).rstrip("/")) + 1
+    whole = None
+    for row in per_file(spark, root, rows_of, "path string, footer binary").orderBy("path").toLocalIterator():
+        one = pq.read_metadata(pa.BufferReader(row["footer"]))
+        one.set_file_path(re.sub(r"^\w+:/+", "/", row["path"])[start:])
+        if whole is None:
+            whole = one
+        elif not whole.schema.equals(one.schema):
+            raise OutOfSpec(f"{row['path']} has another schema than the files before it")
+        else:
+            whole.append_row_groups(one)
+    if whole is None:
+        raise InvalidParameter(f"no files below {root}")
+    with _target(root, name) as f:
+        whole.write_metadata_file(f)
+    return whole.num_row_groups
