@@ -7,8 +7,12 @@ a handful of sums over all documents; the rate itself is an expression of the te
 shuffle of documents takes place.
 
 The misfit's gradient by a document's rate is its tokens times its posteriors' product with the
-domains' shortfalls. A step scales that by the inverse of the document's tokens, so that long and
-short documents of like posteriors keep like rates, and by the inverse of the domains' Gram matrix.
+domains' shortfalls, so whatever steps are taken move a rate along its posteriors: the sum of all
+steps is one move a domain. Steps are scaled by the inverse of the document's tokens, so that long and
+short documents of like posteriors keep like rates, and by the inverse of the domains' Gram matrix
+over the documents that are free to move; the projection is applied to the sum (lazy projection). A
+pass over the documents tries several lengths of a step and keeps the one that misses the targets
+least; a step that helps nothing is never taken.
 Words are runs of letters and digits; tokens are runs between white space (Java's class \\s).
 """
 
@@ -28,7 +32,11 @@ BINS = 8
 #: Words a domain may contribute to the classifier.
 WORDS = 24
 LEAST_DOCS = 8
-STEPS = 40
+STEPS = 30
+#: How much larger a grown total is than the least at which no domain has to shrink: what is added for one domain is in part of others.
+GROWTH = 1.02
+#: Lengths of a step that a pass tries.
+LENGTHS = (1.0, 0.5, 0.2, 0.05, 0.01)
 TOLERANCE = 1e-4
 
 
@@ -71,7 +79,7 @@ class Mixture:
 
     def __init__(self, domains: list[str], words: dict, prior: list[float], table: dict[str, list[list[float]]], text: str):
         self.domains, self.words, self.prior, self.table, self.text = domains, words, prior, table, text
-        self.steps: list[list[float]] = []
+        self.move: list[float] = [0.0] * len(domains)
         self.least_rate = 0.0
         self.totals: dict[str, float] = {}
         self.converged = True
@@ -104,16 +112,10 @@ class Mixture:
         df = df.withColumns({"_tokens": tokens_of(text), "_f": F.array(*bins.values())}).drop("_w", "_l")
         return df.withColumn("_s", scores(F.col("_f"))).withColumn("_p", softmax(F.col("_s"))).drop("_f", "_s")
 
-    def rate(self) -> Column:
-        """1 moved by each step along the posteriors, and projected to the least rate or more."""
-        if not self.steps:
-            return F.lit(max(1.0, self.least_rate))
-        moves = F.array(*[F.array(*[F.lit(x) for x in step]) for step in self.steps])
-
-        def moved(rate: Column, step: Column) -> Column:
-            return F.greatest(F.lit(self.least_rate), rate + sum((F.get(step, F.lit(i)) * F.get(F.col("_p"), F.lit(i)) for i in range(1, len(self.domains))), F.get(step, F.lit(0)) * F.get(F.col("_p"), F.lit(0))))
-
-        return F.aggregate(moves, F.lit(1.0), moved)
+    def rate(self, move: list[float] | None = None) -> Column:
+        """1 moved along the posteriors, and projected to the least rate or more."""
+        moved = sum((F.lit(float(x)) * F.get(F.col("_p"), F.lit(i)) for i, x in enumerate(self.move if move is None else move)), F.lit(1.0))
+        return F.greatest(F.lit(self.least_rate), moved)
 
 
 def fit_classifier(docs: DataFrame, labelled: DataFrame, domain: Column, domains: list[str], id: str = "doc_id", text: str = "text", sample_rows: int = SAMPLE_ROWS) -> Mixture:
@@ -156,38 +158,45 @@ def scored(model: Mixture, docs: DataFrame, whole: bool = True, id: str = "doc_i
 def fit_rates(model: Mixture, rows: DataFrame, weights: dict[str, float], least_rate: float = 0.0, grow: bool = False, steps: int = STEPS) -> Mixture:
     """Fits rates of at least `least_rate` (0: nonnegative) over all rows of the table that scored() wrote.
 
-    Targets are `weights` of the documents' tokens, or with grow=True of the least total at which no
-    domain has to shrink. A domain without documents keeps its shortfall. model.converged says
+    Targets are `weights` of the documents' tokens, or with grow=True of a total a little above the
+    least at which no domain has to shrink. A domain without documents keeps its shortfall. model.converged says
     whether every domain came within TOLERANCE of all tokens of its target.
     """
     k = len(model.domains)
     part = [F.get(F.col("_p"), F.lit(i)) for i in range(k)]
     share = [weights.get(d, 0.0) / sum(weights.values()) for d in model.domains]
-    model.least_rate, model.steps, model.converged, eta, last, aim, total = least_rate, [], True, 1.0, math.inf, [], 0.0
-    for turn in range(steps + 1):
-        # Only rows above the least rate can move either way; the first turn takes all.
-        rated = rows.withColumn("_rate", model.rate()).withColumn("_weight", F.col("_tokens") * F.col("_rate"))
-        free = F.when((F.col("_rate") > least_rate) | F.lit(turn == 0), F.col("_tokens")).otherwise(0)
-        cells = [F.sum(free * part[i] * part[j]).alias(f"g{i}_{j}") for i in range(k) for j in range(k)]
-        got = rated.agg(*[F.sum(F.col("_weight") * part[i]).alias(f"c{i}") for i in range(k)], *cells).first()
-        have = np.array([got[f"c{i}"] or 0.0 for i in range(k)])
-        if turn == 0:
-            if not have.any():
-                break
-            total = max((have[i] / share[i] for i in range(k) if share[i] > 0), default=0.0) if grow else float(have.sum())
-            aim = [total * x for x in share]
-        miss = np.array(aim) - have
-        model.totals = dict(zip(model.domains, have.tolist()))
-        model.converged = bool(np.abs(miss).max() <= TOLERANCE * total)
-        if turn == steps or model.converged:
+    model.least_rate, model.move, model.converged = least_rate, [0.0] * k, True
+
+    def tried(moves: list[list[float]], all_free: bool = False) -> list[tuple[np.ndarray, np.ndarray]]:
+        """(tokens by domain, Gram matrix of the documents above the least rate) for each move, in one pass."""
+        sums = []
+        for n, move in enumerate(moves):
+            rate = model.rate(move)
+            free = F.col("_tokens") if all_free else F.when(rate > least_rate, F.col("_tokens")).otherwise(0)
+            sums += [F.sum(F.col("_tokens") * rate * part[i]).alias(f"c{n}_{i}") for i in range(k)]
+            sums += [F.sum(free * part[i] * part[j]).alias(f"g{n}_{i}_{j}") for i in range(k) for j in range(i, k)]
+        got = rows.agg(*sums).first()
+        gram = [np.array([[got[f"g{n}_{min(i, j)}_{max(i, j)}"] or 0.0 for j in range(k)] for i in range(k)]) for n in range(len(moves))]
+        return [(np.array([got[f"c{n}_{i}"] or 0.0 for i in range(k)]), gram[n]) for n in range(len(moves))]
+
+    # No rate is above the least one before the first step if that is 1, so the first step takes all documents.
+    have, gram = tried([model.move], all_free=True)[0]
+    total = GROWTH * max((have[i] / share[i] for i in range(k) if share[i] > 0), default=0.0) if grow else float(have.sum())
+    aim = np.array([total * x for x in share])
+    for _ in range(steps):
+        miss = aim - have
+        if np.abs(miss).max() <= TOLERANCE * total:
             break
-        # The step is preconditioned by the domains' small Gram matrix; after one that did not help it is halved.
-        gram = np.array([[got[f"g{i}_{j}"] or 0.0 for j in range(k)] for i in range(k)])
         root = np.sqrt(np.maximum(np.diag(gram), 1e-9 * total))
-        inverse = np.linalg.pinv(gram / np.outer(root, root), rcond=1e-6) / np.outer(root, root)
-        eta, last = (min(1.0, 2 * eta) if np.linalg.norm(miss) < 0.9 * last else eta / 2), float(np.linalg.norm(miss))
-        model.steps.append((eta * inverse @ miss).tolist())
-    model.targets = dict(zip(model.domains, aim))
+        step = np.linalg.pinv(gram / np.outer(root, root), rcond=1e-9) @ (miss / root) / root
+        moves = [(np.array(model.move) + x * step).tolist() for x in LENGTHS]
+        found = tried(moves)
+        best = min(range(len(moves)), key=lambda n: float(np.linalg.norm(aim - found[n][0])))
+        if np.linalg.norm(aim - found[best][0]) >= np.linalg.norm(miss):
+            break
+        model.move, (have, gram) = moves[best], found[best]
+    model.converged = bool(np.abs(aim - have).max() <= TOLERANCE * total)
+    model.totals, model.targets = dict(zip(model.domains, have.tolist())), dict(zip(model.domains, aim.tolist()))
     return model
 
 
