@@ -14,6 +14,7 @@ import time
 import uuid
 from array import array
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from weakref import WeakSet
 
 import numpy as np
@@ -64,8 +65,25 @@ def scratch_base(spark: SparkSession) -> str:
     return _bases[app]
 
 
+_made: list[list[str]] = []
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
-    return f"{scratch_base(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+    path = f"{scratch_base(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+    for some in _made[-1:]:
+        some.append(path)
+    return path
+
+
+@contextmanager
+def temporary(spark: SparkSession) -> Iterator[None]:
+    """Drops the scratch folders that are made inside, when it ends."""
+    _made.append([])
+    try:
+        yield
+    finally:
+        for path in _made.pop():
+            drop(spark, path)
 
 
 def drop(spark: SparkSession, path: str) -> None:

@@ -599,9 +599,7 @@ def test_mixing_equals_brute_force(spark):
         s = np.array([model.prior[d] + sum(model.table[k][d][b] for k, b in features(x).items()) for d in range(2)])
         p[i], tokens[i] = np.exp(s - s.max()) / np.exp(s - s.max()).sum(), len(re.findall(r"[^ \t\n\x0b\f\r]+", x))
         assert got[i].tokens == tokens[i] and np.allclose([got[i].p_high, got[i].p_low], p[i], atol=1e-9), x
-    rate = np.ones(len(texts))
-    for step in model.steps:
-        rate = np.maximum(0, rate + p @ np.array(step))
+    rate = np.maximum(0, 1 + p @ np.array(model.move))
     assert np.allclose([got[i].rate for i in range(len(texts))], rate)
     reached = (tokens * rate) @ p
     assert got[0].converged and np.allclose(reached, np.array([0.7, 0.3]) * tokens.sum(), atol=mixing.TOLERANCE * tokens.sum())
@@ -613,7 +611,7 @@ def test_mixing_says_when_targets_are_not_met(spark):
     docs, marks = table(spark, sentences(22, 60, 20)), labelled(spark, [i % 2 for i in range(60)], "quality")
     model = mixing.fit_classifier(docs, marks, mixing.by_quality(), ["high", "low"])
     rows = mixing.scored(model, docs)
-    mixing.fit_rates(model, rows, {"high": 0.999, "low": 0.001}, steps=1)
+    mixing.fit_rates(model, rows, {"high": 0.999, "low": 0.001}, steps=0)
     assert {r.converged for r in mixing.rates(model, rows).collect()} == {False}
     draws = [r[0] for r in mixing.scored(model, table(spark, sentences(23, 20), [None] * 20)).select("_draw").collect()]
     assert len(set(draws)) == 20
