@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from lamella.llm import exact_dedup, mixing, near_dedup, packing, toxicity
-from lamella.llm.common import documents, labels, scratch_path, tokenizer_path
+from lamella.llm.common import documents, labels, scratch_path, temporary, tokenizer_path
 
 #: Target shares of the two quality domains; no document's rate falls below 1, so none is lost.
 WEIGHTS = {"high": 0.92, "low": 0.08}
@@ -55,11 +55,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents; each stage's rows are written as Parquet and read again."""
+    """All stages over documents; each stage's rows are written as Parquet and read again, and its own tables dropped."""
     docs = documents(spark, sf_dir)
     folder = scratch_path(spark, "pipeline")
     for name, stage in STAGES:
         path = os.path.join(folder, name)
-        stage(spark, docs, sf_dir).write.parquet(path)
+        with temporary(spark):
+            stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
     return docs
