@@ -13,14 +13,17 @@ WEIGHTS = {"clean": 0.90, "low": 0.08, "toxic": 0.02}
 
 
 def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For each encoded length that occurs: documents and tokens at it, up to it and from it on (suffix sums)."""
     return token_counts.token_counts(documents(spark, sf_dir), tokenizer_path("byte_bpe_50k.json"))
 
 
 def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents' ids in sequences of at most 4096; a row for each piece."""
     return packing.pack_documents(documents(spark, sf_dir), tokenizer_path("word_bpe_49k.json"), capacity=4096, end_id=1)
 
 
 def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Posteriors over clean, low and toxic and a fitted rate for every document; converged says whether the targets are met."""
     docs = documents(spark, sf_dir)
     model = mixing.fit_classifier(docs, labels(spark, sf_dir), mixing.by_label(), list(WEIGHTS))
     rows = mixing.scored(model, docs, whole=False)
@@ -28,34 +31,41 @@ def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The class of near-duplicates of every document."""
     return near_dedup.near_classes(documents(spark, sf_dir)).drop("key")
 
 
 def op5_media_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is read back from the chunk store, for every document."""
     return media.media(documents(spark, sf_dir), scratch_path(spark, "media"))
 
 
 def op6_binary_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Offsets and checksums of every document's ids, read back from the segments."""
     path = scratch_path(spark, "ids")
     binary_ids.write_ids(documents(spark, sf_dir), path, tokenizer_path("byte_bpe_50k.json"), end_id=0)
     return binary_ids.read_ids(spark, path).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A toxicity score for every document."""
     docs = documents(spark, sf_dir)
     return toxicity.score(docs, toxicity.fit(docs, labels(spark, sf_dir)))
 
 
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A quality score for every document."""
     docs = documents(spark, sf_dir)
     return quality.score(docs, quality.fit(docs, labels(spark, sf_dir)))
 
 
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The shard of every document, by its id's hash."""
     return sharding.assign(documents(spark, sf_dir), SHARD_BYTES)
 
 
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The group of equal texts of every document; the largest doc_id stays."""
     return exact_dedup.exact_dedup(documents(spark, sf_dir), keep="max")
 
 
