@@ -151,7 +151,7 @@ class Model:
 
     def ready(self) -> Model:
         self.channel = Channel(self.counts)
-        self.hits = Memo(lambda w: tuple(f for f in features_of(w) if f in self.weights))
+        self.hits = Memo(lambda w: tuple(f for f in features_of(w) if f in self.weights), 128 << 20)
         return self
 
     def found(self, text: str) -> set[str]:
