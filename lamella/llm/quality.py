@@ -47,7 +47,7 @@ def _buckets(token: str) -> bytes:
     return out.tobytes()
 
 
-_memo = Memo(_buckets)
+_memo = Memo(_buckets, 160 << 20)
 
 
 def bucket_rows(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
