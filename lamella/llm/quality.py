@@ -23,7 +23,7 @@ from .common import Memo, arrow_map, claim, held_out, slices, strings, written
 
 #: Labelled rows that the network is fitted on at most: those whose ids hash lowest.
 SAMPLE_ROWS = 8000
-BUCKETS, DIMS, NONZERO = 1 << 14, 32, 4
+BUCKETS, DIMS, NONZERO = 1 << 13, 32, 4
 HIDDEN = 32
 CAPITALS = 0
 PIECE = re.compile(r"\w+|[^\w\s]+")
