@@ -466,6 +466,29 @@ def test_toxicity_learns_and_restores(spark):
     assert {r.doc_id for r in left.select("doc_id").collect()} == {r.doc_id for r in got if r.predicted == 0 and r.doc_id < 600}
 
 
+def test_toxicity_counts_different_words_of_a_beginning():
+    words = ["grumbler", "grumbled", "grumbles", "calm"]
+    found = toxicity.graded(f for w in words for f in toxicity.features_of(w))
+    assert {"calm", "^cal", "grumbler", "^grumble", "^gru", "^gru#2", "^gru#3"} <= found
+    assert "^cal#2" not in found and "grumbler#2" not in found and toxicity.graded([]) == set()
+    model = toxicity.Model({}, {"^grum#2": 5.0, "calm": -1.0}, -3.0).ready()
+    assert model.found("Grumbled, grumbles; grumbles") == {"^grum#2"} and model.found("grumbles grumbles calm") == {"calm"}
+    assert model.score("grumbled grumbles") > 0.5 > model.score("grumbles grumbles")
+
+
+def test_logistic_fit_is_at_the_least_loss():
+    rng = np.random.default_rng(3)
+    x = (rng.random((400, 12)) < 0.2).astype(np.float32)
+    y = ((x[:, 0] + x[:, 1] > 0) | (rng.random(400) < 0.05)).astype(float)
+    for l2 in (0.1, 1.0):
+        w, b = toxicity._fit_logistic(x, y, l2)
+        p = 1 / (1 + np.exp(-(x @ w + b)))
+        assert np.abs(x.T @ (p - y) + l2 * w).max() < 1e-3 and abs((p - y).sum()) < 1e-3
+    # A word that only labelled rows of class 1 have is enough by itself, whatever else is learned.
+    w, b = toxicity._fit_logistic(np.eye(4)[[0] * 90 + [1] * 900 + [2] * 5 + [3] * 5], np.repeat([1.0, 0.0, 1.0], [90, 905, 5]))
+    assert w[0] + b > 0 > w[1] + b
+
+
 def test_character_model_counts_all_documents(spark):
     texts = sentences(20, 60, 20)
     texts += ["Zyzzyvas 中文字 œuvre", None, "zyzzyvas"] * 4
