@@ -12,7 +12,8 @@ from lamella.operators import bloom, encodings, intervals, nested, schema
 from lamella.operators.statistics import column_statistics, merge
 from lamella.session import row_reader, scratch
 from lamella.sources import raw, scan
-from lamella.sources.footer import footers, sidecar
+from lamella.sources.files import per_row
+from lamella.sources.footer import chunk_bytes, footers, sidecar
 from lamella.sources.pageindex import filters, page_headers, page_index
 from lamella.sources.pages import dictionaries
 from lamella.sources.sink import CODECS, WriteOptions, write, write_arrow, write_sidecar
@@ -390,3 +391,37 @@ def test_running_statistics(spark, tmp_path):
     q.processAllAvailable()
     assert sorted((r.k, r.min_value, r.max_value, r.num_values) for r in spark.sql("select * from running").collect()) == [(0, 0, 18, 10), (1, 1, 19, 10)]
     q.stop()
+
+
+def test_chunk_bytes_come_in_pieces(spark):
+    path = scratch(spark, "large chunk")
+    write(spark.range(700_000).selectExpr("rand(3) AS x", "id % 2 = 0 AS b").coalesce(1), path, WriteOptions(codec="none", dictionary=False))
+    name = footers(spark, path).first().path
+    with raw.opened(name) as f:
+        whole = f.read()
+    ranges = {r.column_path: (r.start, r.compressed_size) for r in footers(spark, path, "chunk").collect()}
+    pieces = chunk_bytes(spark, path).orderBy("start").collect()
+    assert ranges["x"][1] > 5_600_000 and max(len(r.content) for r in pieces) <= 1 << 22
+    for column, (start, size) in ranges.items():
+        mine = [r for r in pieces if r.column_path == column]
+        assert mine[0].start == start and b"".join(r.content for r in mine) == whole[start : start + size]
+    assert {r.column_path for r in chunk_bytes(spark, path, ["b"]).collect()} == {"b"}
+
+
+def test_tasks_hold_few_large_values(spark):
+    """Of a hundred values of one megabyte, those that a task holds at once are few."""
+
+    def rows_of(n):
+        live = [0]
+
+        class Value(bytes):
+            def __del__(self):
+                live[0] -= 1
+
+        for _ in range(n):
+            live[0] += 1
+            yield live[0], Value(1 << 20)
+
+    found = per_row(spark.createDataFrame([(100,)], "n int"), rows_of, "live int, content binary")
+    assert found.agg(F.count(F.lit(1)), F.sum(F.octet_length("content"))).first()[:] == (100, 100 << 20)
+    assert found.agg(F.max("live")).first()[0] <= 8
