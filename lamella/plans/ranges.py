@@ -9,7 +9,7 @@ from ..operators import encodings, intervals
 from ..session import scratch
 from ..sources import scan
 from ..sources.pageindex import page_headers, page_index
-from ..sources.sink import WriteOptions, write
+from ..sources.sink import Parts, WriteOptions, write_parts
 from .registry import query, table
 
 PAGE = 300
@@ -17,23 +17,34 @@ FILE = "least(o_orderkey // 5000, 2)"
 
 PAGES_SQL = f"""WITH r AS (SELECT {FILE} AS file, row_number() OVER (PARTITION BY {FILE} ORDER BY o_orderkey) - 1 AS row, o_orderkey, o_totalprice FROM orders),
  p AS (SELECT CAST(file AS INTEGER) AS file, CAST(row // {PAGE} AS INTEGER) AS page, min(row) AS start, count(*) AS length, max(o_totalprice) AS top FROM r GROUP BY 1, 2)"""
-NUMBER = "CAST(regexp_extract(path, 'part-([0-9]+)', 1) AS INT) AS file"
+#: Rows of a file on disk, whole pages. The three files of the SQL are tables of such files, since the last has nearly all rows.
+PART = 500 * PAGE
 
 
-def three_files(spark, sf) -> str:
+def three_files(spark, sf) -> Parts:
     """Orders in three files by key, with pages of 300 rows."""
-    path = scratch(spark, "orders in files")
     part = F.least(F.expr("o_orderkey div 5000"), F.lit(2)).cast("int")
-    rows = table(spark, sf, "orders").select("o_orderkey", "o_totalprice").repartitionById(3, part).sortWithinPartitions("o_orderkey")
-    write(rows, path, WriteOptions(page_rows=PAGE, dictionary=False))
-    return path
+    rows = table(spark, sf, "orders").select("o_orderkey", "o_totalprice")
+    return write_parts(rows, scratch(spark, "orders in files"), part, "o_orderkey", PART, WriteOptions(page_rows=PAGE, dictionary=False))
 
 
-def with_lengths(spark, sf, path: str | None = None):
+def with_part(found, parts: Parts, path: str = "path"):
+    """Adds file and before, the rows of the file in the parts before a row's own."""
+    # The part's number is a column of its own, so that a path is cut once a row.
+    numbered = found.withColumn("_part", parts.part(F.col(path)))
+    return numbered.withColumn("file", parts.table(F.col("_part"))).withColumn("before", parts.before(F.col("_part"))).drop("_part")
+
+
+#: The number of a page in its file, from that in its part.
+IN_FILE = f"CAST(page + before div {PAGE} AS INT) AS page"
+
+
+def with_lengths(spark, sf):
     """The pages of the price by the files' own indexes: file, page, start, length, top."""
-    found = page_index(spark, path or three_files(spark, sf), ["o_totalprice"])
+    parts = three_files(spark, sf)
+    found = with_part(page_index(spark, parts.path, ["o_totalprice"]), parts)
     found = intervals.page_row_intervals(found, F.col("num_rows"), ["path", "row_group"])
-    return found.select("path", "row_group", F.expr(NUMBER), "page", "start", "length", F.col("max_value").cast("double").alias("top"))
+    return found.select("path", "row_group", "file", F.expr(IN_FILE), (F.col("before") + F.col("start")).alias("start"), "length", F.col("max_value").cast("double").alias("top"))
 
 
 @query(PAGES_SQL + " SELECT file, page, start, length FROM p")
@@ -51,14 +62,15 @@ def rows_from_pages(spark, sf):
 @query(PAGES_SQL + " SELECT o_orderkey, o_totalprice FROM r JOIN p ON r.file = p.file AND r.row // 300 = p.page WHERE top > 400000")
 def prune_pages_minmax(spark, sf):
     """The rows of the pages whose bounds can hold a price over 400000; other pages are not read."""
-    return scan.page_pruned(spark, three_files(spark, sf), "o_totalprice", F.col("max_value").cast("double") > 400000)
+    return scan.page_pruned(spark, three_files(spark, sf).path, "o_totalprice", F.col("max_value").cast("double") > 400000)
 
 
 @query(PAGES_SQL + " SELECT file, page, length AS num_values FROM p WHERE length >= 300")
 def prune_pages_header(spark, sf):
     """Pages by what their headers in the file say: the number of values."""
-    found = page_headers(spark, three_files(spark, sf), ["o_totalprice"])
-    return found.where("page_type LIKE 'DATA%' AND num_values >= 300").select(F.expr(NUMBER), "page", "num_values")
+    parts = three_files(spark, sf)
+    found = page_headers(spark, parts.path, ["o_totalprice"])
+    return with_part(found.where("page_type LIKE 'DATA%' AND num_values >= 300"), parts).select("file", F.expr(IN_FILE), "num_values")
 
 
 ASKED_SQL = ", q AS (SELECT k * 450 + 20 AS a, 130 AS n FROM range(0, 7) AS t(k))"
@@ -85,14 +97,16 @@ def select_pages(spark, sf):
 @query(PAGES_SQL + ASKED_SQL + " SELECT o_orderkey FROM r WHERE EXISTS (SELECT 1 FROM q WHERE row >= a AND row < a + n)")
 def slice_filter(spark, sf):
     """Rows by their number in their file, of each of three files."""
-    rows = scan.with_rows(spark, three_files(spark, sf))
-    return intervals.rows_in(rows, F.col("row_index"), asked(spark), PAGE).select("o_orderkey")
+    parts = three_files(spark, sf)
+    rows = with_part(scan.with_rows(spark, parts.path), parts, "file_path")
+    return intervals.rows_in(rows, F.col("before") + F.col("row_index"), asked(spark), PAGE).select("o_orderkey")
 
 
 @query(PAGES_SQL + ASKED_SQL + " SELECT o_orderkey, o_totalprice FROM r WHERE EXISTS (SELECT 1 FROM q WHERE row >= a AND row < a + n)")
 def read_row_ranges(spark, sf):
     """The same rows by reading only the pages that hold them."""
-    return scan.row_ranges(spark, three_files(spark, sf), asked(spark), by_file=True)
+    parts = three_files(spark, sf)
+    return scan.row_ranges(spark, parts.path, asked(spark), before=parts.before(parts.part(F.col("path"))))
 
 
 VALID_SQL = "WITH v AS (SELECT event_id // 1000 AS page, row_number() OVER (PARTITION BY event_id // 1000 ORDER BY event_id) - 1 AS place, value > 30 AS valid FROM events)"

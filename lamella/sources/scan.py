@@ -44,16 +44,16 @@ def row_groups(spark: SparkSession, path: str) -> DataFrame:
     return rows.withColumn("table_row", F.col("_base") + F.col("first_row")).drop("_base")
 
 
-def row_ranges(spark: SparkSession, path: str, ranges: list[tuple[int, int]] | DataFrame, columns: list[str] | None = None, by_file: bool = False) -> DataFrame:
+def row_ranges(spark: SparkSession, path: str, ranges: list[tuple[int, int]] | DataFrame, columns: list[str] | None = None, by_file: bool = False, before: Column | None = None) -> DataFrame:
     """The rows whose number lies in one of the (start, length) ranges: a short list, or a table of any length.
 
     Rows are numbered over all files in the order of their paths, or with by_file=True within each
-    file. Row groups that share no row with a range are not opened, and of the others only the pages
+    file; before: an expression of path, the number of a file's first row where neither holds. Row groups that share no row with a range are not opened, and of the others only the pages
     are read that do (see pages.read_rows).
     """
     if isinstance(ranges, list):
         ranges = spark.createDataFrame([(int(a), int(n)) for a, n in ranges], "start long, length long")
-    base = F.col("first_row" if by_file else "table_row")
+    base = F.col("first_row" if by_file else "table_row") if before is None else F.col("first_row") + before
     groups = row_groups(spark, path).select("path", "row_group", base.alias("start"), F.col("num_rows").alias("length"))
     asked = ranges.select(F.col("start").alias("r_start"), F.col("length").alias("r_length"))
     met = overlaps(groups, asked, STRETCH)
@@ -76,7 +76,8 @@ def pruned(spark: SparkSession, path: str, keep: Column, columns: list[str] | No
 
 def page_pruned(spark: SparkSession, path: str, column: str, keep: Column, columns: list[str] | None = None) -> DataFrame:
     """The rows of the pages of `column` for which a condition on the page_index view holds; of other columns, the pages with these rows."""
-    pages = page_index(spark, path, [column]).where(keep)
+    # So many tasks read, however small the table of the pages is.
+    pages = page_index(spark, path, [column]).where(keep).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "path", "row_group")
     inside = F.struct(F.col("first_row").alias("start"), F.col("rows").alias("length"))
     selected = pages.groupBy("path", "row_group").agg(F.collect_list(inside).alias("selected"))
     return read_rows(selected, project(spark, path, columns or spark.read.parquet(path).columns).schema)

@@ -10,7 +10,8 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import pyarrow.parquet as pq
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 from ..errors import FeatureNotActive, FeatureNotSupported, InvalidParameter, OutOfSpec
 from .files import per_file
@@ -19,6 +20,8 @@ from .raw import opened
 #: Codecs that Spark writes without further libraries (fixed values).
 CODECS = ("none", "snappy", "gzip", "zstd", "lz4", "lz4_raw")
 LEVELS = {"gzip": (0, 9), "zstd": (1, 22), "brotli": (0, 11)}
+#: Keys of a stretch within which one task numbers rows.
+STRETCH = 1 << 14
 
 
 @dataclass
@@ -58,6 +61,63 @@ def write(df: DataFrame, path: str, options: WriteOptions = WriteOptions(), mode
     df.write.options(**options.options()).mode(mode).parquet(path)
 
 
+@dataclass(frozen=True)
+class Parts:
+    """Where the rows lie of tables whose files have `rows` rows each: (a table's number, the number of its first file), ascending."""
+
+    path: str
+    rows: int
+    firsts: list[tuple[int, int]]
+
+    def part(self, path: Column) -> Column:
+        """The number of a file, by its name."""
+        return F.substring_index(F.substring_index(path, "/part-", -1), "-", 1).cast("long")
+
+    def _by_part(self, part: Column, value) -> Column:
+        out = F.when(F.lit(False), F.lit(None).cast("long"))
+        for table, first in reversed(self.firsts):
+            out = out.when(part >= first, value(table, first))
+        return out
+
+    def table(self, part: Column) -> Column:
+        """The number of the table that a file belongs to."""
+        return self._by_part(part, lambda table, first: F.lit(table)).cast("int")
+
+    def before(self, part: Column) -> Column:
+        """How many rows of its table stand in the files before a file."""
+        return self._by_part(part, lambda table, first: (part - first) * self.rows)
+
+
+def write_parts(df: DataFrame, path: str, table: Column, key: str, rows: int, options: WriteOptions = WriteOptions()) -> Parts:
+    """Writes tables in the order of an integer key, each as files of `rows` rows, of which only its last may have fewer.
+
+    table: a row's table. No task gets a table: rows are numbered within stretches of keys, what stands
+    before a stretch is counted, and a task writes one file. The numbers of the tables' rows pass
+    through the driver; nulls come last.
+    """
+    # No key of 64 bits reaches this stretch.
+    stretch = F.coalesce(F.expr(f"`{key}` div {STRETCH}").cast("long"), F.lit((1 << 63) - 1))
+    keyed = df.select("*", table.alias("_table"), stretch.alias("_stretch"))
+    counts = keyed.groupBy("_table", "_stretch").agg(F.count(F.lit(1)).alias("_n"))
+    firsts, total = [], 0
+    for r in counts.groupBy("_table").agg(F.sum("_n").alias("n")).orderBy("_table").collect():
+        firsts.append((r["_table"], total))
+        total += -(-r["n"] // rows)
+    tasks = max(total, 1)
+    earlier = F.sum("_n").over(Window.partitionBy("_table").orderBy("_stretch").rowsBetween(Window.unboundedPreceding, -1))
+    bases = counts.select("_table", "_stretch", F.coalesce(earlier, F.lit(0)).alias("_base"))
+    # All columns are in the order, so that a task that is repeated numbers rows of equal keys alike.
+    order = [F.col(key).asc_nulls_last(), *(c for c in df.columns if c != key)]
+    within = F.row_number().over(Window.partitionBy("_table", "_stretch").orderBy(*order))
+    numbered = keyed.repartition(tasks, "_table", "_stretch").withColumn("_at", within - 1).join(bases, ["_table", "_stretch"]).withColumn("_at", F.col("_base") + F.col("_at"))
+    first = F.lit(0)
+    for number, n in firsts:
+        first = F.when(F.col("_table") == number, F.lit(n)).otherwise(first)
+    part = (first + F.expr(f"_at div {rows}")).cast("int")
+    write(numbered.repartitionById(tasks, part).sortWithinPartitions("_at").select(*df.columns), path, options)
+    return Parts(path, rows, firsts)
+
+
 def _target(folder: str, name: str) -> pa.NativeFile:
     """A new file in a folder of any store that Arrow writes to."""
     from pyarrow import fs

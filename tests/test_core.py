@@ -16,7 +16,7 @@ from lamella.sources.files import per_row
 from lamella.sources.footer import chunk_bytes, footers, sidecar
 from lamella.sources.pageindex import filters, page_headers, page_index
 from lamella.sources.pages import dictionaries
-from lamella.sources.sink import CODECS, WriteOptions, write, write_arrow, write_sidecar
+from lamella.sources.sink import CODECS, WriteOptions, write, write_arrow, write_parts, write_sidecar
 
 NUMBERS = [41, None, -7, 12, 12, None, 300, None, 8, -2, 55]
 NAMES = ["pear", "", None, "plum", "plumage", None, "pe", "été", None, "fig", "figs"]
@@ -425,3 +425,53 @@ def test_tasks_hold_few_large_values(spark):
     found = per_row(spark.createDataFrame([(100,)], "n int"), rows_of, "live int, content binary")
     assert found.agg(F.count(F.lit(1)), F.sum(F.octet_length("content"))).first()[:] == (100, 100 << 20)
     assert found.agg(F.max("live")).first()[0] <= 8
+
+
+def test_large_files_of_orders_are_written_in_parts(spark, tmp_path, monkeypatch):
+    """No file on disk has the rows of the last of the three files, and pages count on over its parts."""
+    from lamella.plans import ranges
+
+    monkeypatch.setattr(ranges, "scratch", lambda spark, name: f"file://{tmp_path}/written/{name.split()[0]}{len(made)}{made.append(name) or ''}")
+    made = []
+    keys = [i * 3 for i in range(320_000)]
+    orders = spark.range(320_000).selectExpr("id * 3 AS o_orderkey", "cast(id * 7919 % 500000 as double) AS o_totalprice")
+    orders.write.parquet(f"file://{tmp_path}/sf/orders.parquet")
+    pages = []
+    for file in range(3):
+        n = sum(min(k // 5000, 2) == file for k in keys)
+        pages += [(file, start // 300, start, min(300, n - start)) for start in range(0, n, 300)]
+    got = ranges.page_row_intervals(spark, f"file://{tmp_path}/sf").select("file", "page", "start", "length").collect()
+    assert sorted(map(tuple, got)) == pages
+    sizes = [r.num_rows for r in footers(spark, f"file://{tmp_path}/written").collect()]
+    assert sum(sizes) == 320_000 and max(sizes) <= 150_000
+    headers = ranges.prune_pages_header(spark, f"file://{tmp_path}/sf").select("file", "page", "num_values").collect()
+    assert sorted(map(tuple, headers)) == [(f, p, n) for f, p, _, n in pages if n == 300]
+    empty = [(r.file, r.page) for r in ranges.select_pages(spark, f"file://{tmp_path}/sf").where("selected = ''").collect()]
+    assert len(empty) == len(set(empty)) and set(empty) == {(f, p) for f, p, a, n in pages if not any(a < 450 * k + 150 and 450 * k + 20 < a + n for k in range(7))}
+
+
+@pytest.mark.parametrize("rows", [20, 1000])
+def test_parts_of_tables_with_odd_keys(spark, rows):
+    """Negative, equal, missing and far keys: every row stays, in the order of its table's keys, in files of so many rows."""
+    keys = [*range(-25, 30), *[7] * 30, None, None, 10**15, -(10**15), 2**63 - 1, -(2**63), *range(16_380, 16_390)]
+    df = spark.createDataFrame([(k, i) for i, k in enumerate(keys)], "k long, v long").repartition(5)
+    path = scratch(spark, "parts")
+    parts = write_parts(df, path, F.when(F.col("k") < 0, -1).otherwise(3), "k", rows, WriteOptions(page_rows=10))
+    found = scan.with_rows(spark, path).withColumn("part", parts.part(F.col("file_path")))
+    read = found.select(parts.table(F.col("part")).alias("t"), (parts.before(F.col("part")) + F.col("row_index")).alias("row"), "k", "v").orderBy("t", "row").collect()
+    tables = {-1: [k for k in keys if k is not None and k < 0], 3: [k for k in keys if k is None or k >= 0]}
+    assert sorted(r.v for r in read) == list(range(len(keys)))
+    for t, mine in tables.items():
+        mine = sorted(mine, key=lambda k: (k is None, k or 0))
+        assert [(r.row, r.k) for r in read if r.t == t] == list(enumerate(mine))
+    sizes = sorted(r.num_rows for r in footers(spark, path).collect())
+    assert sizes == sorted(min(rows, len(x) - a) for x in tables.values() for a in range(0, len(x), rows))
+    got = scan.row_ranges(spark, path, [(18, 5), (41, 2)], before=parts.before(parts.part(F.col("path"))))
+    assert sorted(r.v for r in got.collect()) == sorted(r.v for r in read if r.row in (18, 19, 20, 21, 22, 41, 42))
+
+
+def test_parts_of_no_rows(spark):
+    path = scratch(spark, "no parts")
+    parts = write_parts(spark.range(0), path, F.lit(0), "id", 10)
+    assert parts.firsts == [] and spark.read.parquet(path).columns == ["id"]
+    assert scan.with_rows(spark, path).select(parts.before(parts.part(F.col("file_path")))).count() == 0
