@@ -11,7 +11,7 @@ from ..session import scratch
 from ..sources import scan
 from ..sources.footer import footers, sidecar
 from ..sources.pageindex import page_index
-from ..sources.sink import CODECS, WriteOptions, write, write_arrow, write_sidecar
+from ..sources.sink import CODECS, WriteOptions, write, write_arrow, write_parts, write_sidecar
 from .registry import query, table
 
 
@@ -83,13 +83,18 @@ TWO = "least(event_id // 5000, 1)"
 EVENT_PAGES = f"WITH r AS (SELECT CAST({TWO} AS INTEGER) AS file, row_number() OVER (PARTITION BY {TWO} ORDER BY event_id) - 1 AS row, * FROM events)"
 
 
+#: Rows of a file on disk, 300 pages. The two files of the SQL are tables of such files, since the second has nearly all rows.
+EVENT_PART = 300 * 500
+
+
 def indexed(spark, sf) -> DataFrame:
-    """The page index of events in two files, with pages of 500 rows."""
-    path = scratch(spark, "indexed")
+    """The page index of events in two files, with pages of 500 rows; pages and first rows count on over a file's parts."""
     part = F.least(F.expr("event_id div 5000"), F.lit(1)).cast("int")
-    rows = table(spark, sf, "events").select("event_id", "user_id", "event_type", "value").repartitionById(2, part).sortWithinPartitions("event_id")
-    write(rows, path, WriteOptions(page_rows=500))
-    return page_index(spark, path).withColumn("file", F.regexp_extract("path", r"part-(\d+)", 1).cast("int"))
+    rows = table(spark, sf, "events").select("event_id", "user_id", "event_type", "value")
+    parts = write_parts(rows, scratch(spark, "indexed"), part, "event_id", EVENT_PART, WriteOptions(page_rows=500))
+    found = page_index(spark, parts.path).withColumn("_part", parts.part(F.col("path")))
+    found = found.withColumn("file", parts.table(F.col("_part"))).withColumn("_before", parts.before(F.col("_part")))
+    return found.withColumn("page", F.expr("CAST(page + _before div 500 AS INT)")).withColumn("first_row", F.col("first_row") + F.col("_before")).drop("_part", "_before")
 
 
 @query(EVENT_PAGES + " SELECT file, c AS column_path, CAST(row // 500 AS INTEGER) AS page, min(row) AS first_row, count(*) AS rows, true AS apart FROM r, (VALUES ('event_id'), ('user_id'), ('event_type'), ('value')) AS t(c) GROUP BY 1, 2, 3")

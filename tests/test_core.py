@@ -475,3 +475,21 @@ def test_parts_of_no_rows(spark):
     parts = write_parts(spark.range(0), path, F.lit(0), "id", 10)
     assert parts.firsts == [] and spark.read.parquet(path).columns == ["id"]
     assert scan.with_rows(spark, path).select(parts.before(parts.part(F.col("file_path")))).count() == 0
+
+
+def test_large_files_of_events_are_written_in_parts(spark, tmp_path, monkeypatch):
+    from lamella.plans import sinks
+
+    made = []
+    monkeypatch.setattr(sinks, "scratch", lambda spark, name: f"file://{tmp_path}/written/{name}{len(made)}{made.append(name) or ''}")
+    spark.range(320_000).selectExpr("id AS event_id", "id % 77 AS user_id", "concat('t', id % 5) AS event_type", "id / 2 AS value").write.parquet(f"file://{tmp_path}/sf/events.parquet")
+    pages = []
+    for file, n in ((0, 5000), (1, 315_000)):
+        pages += [(file, a // 500, a, min(500, n - a), file * 5000 + a) for a in range(0, n, 500)]
+    columns = ("event_id", "event_type", "user_id", "value")
+    got = sinks.page_locations(spark, f"file://{tmp_path}/sf").select("column_path", "file", "page", "first_row", "rows", "apart").collect()
+    assert sorted(map(tuple, got)) == [(c, f, p, a, n, True) for c in columns for f, p, a, n, _ in pages]
+    sizes = [r.num_rows for r in footers(spark, f"file://{tmp_path}/written").collect()]
+    assert sum(sizes) == 320_000 and max(sizes) <= 150_000
+    stats = sinks.page_index_stats(spark, f"file://{tmp_path}/sf").where("column_path = 'event_id'").select("file", "page", "low", "high", "nulls").collect()
+    assert sorted(map(tuple, stats)) == [(f, p, low, low + n - 1, 0) for f, p, _, n, low in pages]
